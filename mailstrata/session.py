@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +27,24 @@ def build_session(master: str = "local[*]", app: str = "mailstrata", **conf: str
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of the session's executors."""
+    sc = spark.sparkContext
+    if getattr(sc, "_mailstrata_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="spark-mailstrata-")
+    archive = os.path.join(folder, "mailstrata.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for base, _, names in os.walk(here):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(base, name)
+                    out.write(path, os.path.join("mailstrata", os.path.relpath(path, here)))
+    sc.addPyFile(archive)
+    sc._mailstrata_shipped = True
+
+
 def staging_root(spark: SparkSession) -> str:
     """The folder shared by all executors: ``spark.checkpoint.dir`` of the session.
 
