@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Unicode white space plus the four separator controls that str.isspace() also accepts.
@@ -19,6 +19,24 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def rows_of(df: DataFrame, keep: Iterable[str], array: Column | str, name: str,
+            position: str | None = None) -> DataFrame:
+    """One row per element of ``array`` (elements are never NULL), as column ``name``.
+
+    The outer form plus a filter on its output, instead of the inner form: for the latter Catalyst
+    infers ``size(array) > 0`` and pushes it to the scan, which evaluates the array twice.
+    """
+    if position is None:
+        return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+    return df.select(*keep, F.posexplode_outer(array).alias(position, name)).where(
+        F.col(position).isNotNull())
+
+
+def pinned(df: DataFrame, keep: Iterable[str], value: Column, name: str) -> DataFrame:
+    """Add ``value`` so that later filters on it do not get pushed below (and evaluate it again)."""
+    return df.select(*keep, F.explode(F.array(value)).alias(name))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?U)^[{SPACE}]+|[{SPACE}]+\z", "")
 

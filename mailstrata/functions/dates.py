@@ -55,9 +55,9 @@ def rfc5322_epoch(text: Column) -> Column:
     s = F.btrim(F.regexp_replace(text, rf"(?U)[{SPACE}]+", " "))
     for pattern, replacement in _REWRITES:
         s = F.regexp_replace(s, pattern, replacement)
-    fields = F.when(
-        s.rlike(_FIELDS),
-        F.split(F.regexp_replace(s, _FIELDS, "$1/$2/$3/$4$7/$5$8/$6$9/$10"), "/"))
+    fields = let(s, lambda x: F.when(
+        x.rlike(_FIELDS),
+        F.split(F.regexp_replace(x, _FIELDS, "$1/$2/$3/$4$7/$5$8/$6$9/$10"), "/")))
 
     def instant(f: Column) -> Column:
         def num(i: int) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailstrata import rules
-from mailstrata.functions.common import after_index, let, null_if_empty, strip
+from mailstrata.functions.common import after_index, let, null_if_empty, pinned, strip
 from mailstrata.functions.ip import ip_version, is_ipv6
 from mailstrata.functions.text import defang_url, undefang_url
 
@@ -158,12 +158,10 @@ def with_url(df: DataFrame, raw: str, name: str = "u") -> DataFrame:
     def c(field: str) -> Column:
         return F.col(raw) if field == "raw" else F.col(f"__url_{field}")
 
-    made: list[str] = []
+    own = df.columns
     for stage in _STAGES:
-        columns = {f"__url_{field}": value for field, value in stage(c).items()}
-        df = df.withColumns(columns)
-        made += columns
-    return df.withColumn(name, _result(c)).drop(*made)
+        df = df.withColumns({f"__url_{field}": value for field, value in stage(c).items()})
+    return pinned(df, own, _result(c), name)
 
 
 def url_struct(raw: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailstrata import rules
-from mailstrata.functions.common import first_match
+from mailstrata.functions.common import first_match, pinned
 from mailstrata.functions.content import extension_chain, identify_bytes
 from mailstrata.limits import Limits
 from mailstrata.operators.mime import unnamed
@@ -22,9 +22,9 @@ def attachment_rows(df: DataFrame) -> DataFrame:
     """One row per attachment with hashes and identification; ``payload`` is still there."""
     rows = df.select("source_path", "evidence_id", F.inline("carried"))
     rows = rows.withColumn("filename", unnamed(F.col("filename"), F.col("part_index")))
+    rows = pinned(rows, rows.columns, identify_bytes(F.col("payload")), "identified")
     rows = rows.withColumns({
         "sha256": F.sha2("payload", 256), "md5": F.md5("payload"),
-        "identified": identify_bytes(F.col("payload")),
         "extension_chain": extension_chain(F.col("filename")),
     })
     return rows.withColumns({

@@ -24,6 +24,7 @@ from mailstrata.functions.common import (
     first_token,
     let,
     null_if_empty,
+    rows_of,
     strip,
     tokens,
 )
@@ -182,23 +183,22 @@ def with_claims(df: DataFrame) -> DataFrame:
     })
 
 
+def _claim_rows(df: DataFrame, column: str, name: str) -> DataFrame:
+    claims = with_claims(df.select("source_path", "evidence_id", "fields"))
+    return rows_of(claims, ("source_path", "evidence_id"), column, name, "ordinal")
+
+
 def auth_result_rows(df: DataFrame) -> DataFrame:
-    rows = with_claims(df.select("source_path", "evidence_id", "fields")).select(
-        "source_path", "evidence_id", F.posexplode("auth_results").alias("ordinal", "r"))
-    return rows.select("source_path", "evidence_id", "ordinal", "r.*",
+    return _claim_rows(df, "auth_results", "r").select("source_path", "evidence_id", "ordinal", "r.*",
                        known_auth_result(F.col("r.result")).alias("known_result"))
 
 
 def dkim_rows(df: DataFrame) -> DataFrame:
-    return with_claims(df.select("source_path", "evidence_id", "fields")).select(
-        "source_path", "evidence_id", F.posexplode("dkim_signatures").alias("ordinal", "s")
-    ).select("source_path", "evidence_id", "ordinal", "s.*")
+    return _claim_rows(df, "dkim_signatures", "s").select("source_path", "evidence_id", "ordinal", "s.*")
 
 
 def spf_rows(df: DataFrame) -> DataFrame:
-    return with_claims(df.select("source_path", "evidence_id", "fields")).select(
-        "source_path", "evidence_id", F.posexplode("received_spf").alias("ordinal", "s")
-    ).select("source_path", "evidence_id", "ordinal", "s.*")
+    return _claim_rows(df, "received_spf", "s").select("source_path", "evidence_id", "ordinal", "s.*")
 
 
 # --- observations -------------------------------------------------------------------------

@@ -15,6 +15,7 @@ from mailstrata.functions.common import (
     first_match,
     let,
     null_if_empty,
+    rows_of,
 )
 from mailstrata.functions.dates import iso_utc, rfc5322_epoch
 
@@ -54,7 +55,7 @@ def with_fields(df: DataFrame) -> DataFrame:
 
 def header_rows(df: DataFrame) -> DataFrame:
     """``headers(source_path, evidence_id, ordinal, name, name_raw, value)``."""
-    return df.select("source_path", "evidence_id", F.explode("fields").alias("f")).select(
+    return rows_of(df, ("source_path", "evidence_id"), "fields", "f").select(
         "source_path", "evidence_id", "f.*")
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailstrata import rules
-from mailstrata.functions.common import null_if_empty
+from mailstrata.functions.common import null_if_empty, rows_of
 from mailstrata.limits import Limits
 from mailstrata.operators.addresses import PLAIN_ADDRESS
 from mailstrata.sources.arrow_stage import arrow_stage
@@ -101,11 +101,10 @@ class _Flattening:
             return {"reject": bound.row}
         except Exception:
             return {"reject": {"reason": "unparseable", "observed": len(raw), "limit": None}}
-        message.policy = email.policy.default
         for name in ("date", "from"):
-            if message.get(name) is None:
+            if name not in message:
                 self.warn("missing-header", f"no {name} header", None)
-        out = {
+        return {
             "reject": None,
             "subject": _decoded(message, "subject"),
             "message_id": _decoded(message, "message-id"),
@@ -119,7 +118,6 @@ class _Flattening:
                 for i, (n, v) in enumerate(message.raw_items()) if "//" in str(v)
             ],
         }
-        return out
 
     def warn(self, code: str, detail: str, part: str | None, stage: str = "message") -> None:
         self.warnings.append({"stage": stage, "seq": len(self.warnings), "code": code,
@@ -229,6 +227,15 @@ def _raw_value(message: Message, name: str) -> str | None:
     return None
 
 
+def _structured(message: Message, name: str) -> Any:
+    """The header as the modern policy reads it (slow; only for values that need it)."""
+    message.policy = email.policy.default
+    try:
+        return message.get(name)
+    finally:
+        message.policy = email.policy.compat32
+
+
 def _decoded(message: Message, name: str) -> str | None:
     """Decoded header text, blank is NULL. Plain ASCII needs no header parser."""
     raw = _raw_value(message, name)
@@ -236,7 +243,7 @@ def _decoded(message: Message, name: str) -> str | None:
         if name == "subject" or _MESSAGE_ID.match(raw):
             return raw.strip() or None
     try:
-        header = message.get(name)
+        header = _structured(message, name)
         return None if header is None else (_text(str(header).strip()) or None)
     except Exception:
         return None
@@ -263,7 +270,7 @@ def _addresses(message: Message, role: str) -> list[dict[str, Any]]:
 
 def _parsed_addresses(message: Message, role: str) -> list[tuple[str, str, str]]:
     try:
-        header = message.get(role)
+        header = _structured(message, role)
     except Exception:
         return []
     if header is None:
@@ -305,7 +312,7 @@ def with_container_sizes(df: DataFrame) -> DataFrame:
 def part_rows(df: DataFrame) -> DataFrame:
     """``parts(source_path, evidence_id, the fields of PART_TYPE)``."""
     return with_container_sizes(df.where(F.col("reject").isNull())).select(
-        "source_path", "evidence_id", F.inline("parts"))
+        "source_path", "evidence_id", F.inline_outer("parts"))
 
 
 def unnamed(filename: Column, part_index: Column) -> Column:
@@ -317,7 +324,7 @@ def attachment_inventory(df: DataFrame) -> DataFrame:
     """Attachments of the message tree: ``filename, mime_claim, size_bytes, sha256, part_index``."""
     empty_digest = F.sha2(F.lit(b""), 256)
     return (
-        df.select("source_path", "evidence_id", F.explode("parts").alias("p"))
+        rows_of(df, ("source_path", "evidence_id"), "parts", "p")
         .where("p.is_attachment")
         .select(
             "source_path", "evidence_id", "p.part_index",
@@ -328,7 +335,8 @@ def attachment_inventory(df: DataFrame) -> DataFrame:
 
 
 def address_rows(df: DataFrame) -> DataFrame:
-    return df.select("source_path", "evidence_id", F.inline("addresses"))
+    return df.select("source_path", "evidence_id", F.inline_outer("addresses")).where(
+        F.col("role").isNotNull())
 
 
 def first_of(role: str) -> Column:
@@ -346,7 +354,7 @@ def all_of(role: str) -> Column:
 
 def message_warnings(df: DataFrame, stage: str = "message") -> DataFrame:
     """Warning rows found while parsing, for one stage (``message`` or ``urls``)."""
-    return df.select("source_path", F.inline("warnings")).where(F.col("stage") == stage)
+    return df.select("source_path", F.inline_outer("warnings")).where(F.col("stage") == stage)
 
 
 def reject_rows(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailstrata.functions.common import str_map
+from mailstrata.functions.common import rows_of, str_map
 
 OBSERVATION_TYPE = (
     "struct<seq:bigint,subject:string,code:string,detail:string,basis:map<string,string>>"
@@ -51,13 +51,13 @@ def none_of(kind: str) -> Column:
 
 def observation_rows(df: DataFrame, area: str, column: str) -> DataFrame:
     """Explode an ARRAY<observation> column into observation rows."""
-    return df.select("source_path", "evidence_id", F.explode(column).alias("o")).select(
+    return rows_of(df, ("source_path", "evidence_id"), column, "o").select(
         "source_path", "evidence_id", F.lit(area).alias("area"), "o.subject", "o.seq", "o.code",
         "o.detail", "o.basis")
 
 
 def warning_rows(df: DataFrame, stage: str, column: str) -> DataFrame:
-    return df.select("source_path", F.explode(column).alias("w")).select(
+    return rows_of(df, ("source_path",), column, "w").select(
         "source_path", F.lit(stage).alias("stage"), "w.seq", "w.code", "w.detail", "w.part")
 
 

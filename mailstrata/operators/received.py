@@ -95,12 +95,12 @@ def with_hops(df: DataFrame) -> DataFrame:
         })
         df = df.withColumn(f"{side}_bare", _unprefixed(F.btrim(F.col(f"{side}_token"), F.lit("[]"))))
         df = df.withColumn(f"{side}_is_ip", ip_version(F.col(f"{side}_bare")).isNotNull())
+        df = df.withColumn(f"{side}_text", F.coalesce(
+            F.col(f"{side}_literal"), F.when(F.col(f"{side}_is_ip"), F.col(f"{side}_bare"))))
         df = df.withColumns({
             f"{side}_host": F.when(~F.coalesce(f"{side}_is_ip", F.lit(False)),
                                    F.col(f"{side}_token")),
-            f"{side}_ip": canonical_ip(F.coalesce(
-                F.col(f"{side}_literal"),
-                F.when(F.col(f"{side}_is_ip"), F.col(f"{side}_bare")))),
+            f"{side}_ip": canonical_ip(F.col(f"{side}_text")),
         })
     df = df.withColumns({
         "timestamp_valid": F.col("timestamp_epoch").isNotNull(),

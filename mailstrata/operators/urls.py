@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from mailstrata import rules
-from mailstrata.functions.common import null_if_empty, strip
+from mailstrata.functions.common import null_if_empty, rows_of, strip
 from mailstrata.functions.text import clean_url_text, looks_defanged, url_spellings
 from mailstrata.functions.urls import with_url
 from mailstrata.limits import Limits
@@ -44,7 +44,7 @@ def text_sources(df: DataFrame) -> DataFrame:
         F.lit("header"), h["ordinal"] + _HEADERS_FROM, h["name"], h["value"]))
     marker = F.array(source(F.lit(_MARKER), F.lit(-1), F.lit(None), F.lit(None)))
     return df.where(F.col("reject").isNull()).select(
-        "source_path", "evidence_id", F.inline(F.concat(marker, bodies, headers)))
+        "source_path", "evidence_id", F.inline_outer(F.concat(marker, bodies, headers)))
 
 
 def linked_sources(df: DataFrame) -> DataFrame:
@@ -69,13 +69,13 @@ def candidates(df: DataFrame) -> DataFrame:
     ).otherwise(F.array(F.struct(
         F.lit(0).alias("piece_ord"), F.col("kind").alias("kind"), F.col("detail").alias("detail"),
         F.col("text").alias("text"), F.lit(None).cast("string").alias("anchor_text"))))
-    rows = linked_sources(df).select(
-        "source_path", "evidence_id", "source_ord", F.explode(pieces).alias("piece"))
+    rows = rows_of(linked_sources(df), ("source_path", "evidence_id", "source_ord"), pieces,
+                   "piece")
     spelled = F.when(F.col("piece.kind") == _MARKER,
                      F.array(F.lit(None).cast("string"))).otherwise(
         url_spellings(F.col("piece.text")))
-    rows = rows.select("source_path", "evidence_id", "source_ord", "piece",
-                       F.posexplode(spelled).alias("match_ord", "spelling"))
+    rows = rows_of(rows, ("source_path", "evidence_id", "source_ord", "piece"), spelled, "spelling",
+                   "match_ord")
     return rows.select(
         "source_path", "evidence_id",
         F.struct("source_ord", "piece.piece_ord", "match_ord").alias("ord"),

@@ -54,9 +54,13 @@ def overview(parsed: DataFrame, limits: Limits = Limits()) -> DataFrame:
 def _collected(df: DataFrame, name: str, order: tuple[str, ...]) -> DataFrame:
     """``(source_path, name)``: rows of a child table as one array per message, in ``order``."""
     fields = sorted(c for c in df.columns if c not in ("source_path", "evidence_id"))
-    keyed = F.struct(*order, F.struct(*fields).alias("row"))
+    keyed = F.struct(F.struct(*order).alias("key"), F.struct(*fields).alias("row"))
+
+    def by_key(a: Column, b: Column) -> Column:  # rows hold maps, which have no order
+        return F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
+
     return df.groupBy("source_path").agg(
-        F.transform(F.array_sort(F.collect_list(keyed)), lambda x: x["row"]).alias(name))
+        F.transform(F.array_sort(F.collect_list(keyed), by_key), lambda x: x["row"]).alias(name))
 
 
 CHILD_ORDER = {

@@ -19,6 +19,7 @@ def build_session(master: str = "local[*]", app: str = "mailstrata", **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.execution.arrow.maxRecordsPerBatch": str(ARROW_ROWS),
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         **conf,
     }
     builder = SparkSession.builder.master(master).appName(app)
@@ -27,6 +28,16 @@ def build_session(master: str = "local[*]", app: str = "mailstrata", **conf: str
     return builder.getOrCreate()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan that has fewer splits than there are cores one split per core.
+
+    Small tables in one file would keep one core busy with per-row work that is far more expensive
+    than moving their few columns. Scans with enough splits are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in the Python workers of the session's executors."""
     sc = spark.sparkContext

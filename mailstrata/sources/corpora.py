@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mailstrata.session import spread
 from mailstrata.sources.mail import from_table
 
 # Events of one user within one block of this many consecutive event ids share a message, so a
@@ -42,8 +43,9 @@ PAYLOAD_HEX = (
 )
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df.select(*columns) if columns else df)
 
 
 def lines(*parts: Column | str) -> Column:
@@ -63,7 +65,7 @@ def mail_time(ts: Column) -> Column:
 
 def chain_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relay corpus from ``events``: one hop per event, newest first."""
-    e = table(spark, sf_dir, "events")
+    e = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type")
     eid, uid = F.col("event_id"), F.col("user_id")
     hop_ts = F.date_trunc("second", F.col("ts")).cast("timestamp_ntz") + F.make_dt_interval(
         secs=((eid * 37) % 7200 - 3600).cast("decimal(18,6)"))
@@ -104,7 +106,7 @@ def chain_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def auth_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Authentication corpus from ``orders``: one message per order."""
-    o = table(spark, sf_dir, "orders")
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     k = F.col("o_orderkey")
     domain = text("c", F.col("o_custkey") % 50, ".example.net")
     envelope = F.when(k % 3 == 0, domain).when(k % 3 == 1, text("mail.", domain)).otherwise(
@@ -147,7 +149,7 @@ def auth_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def url_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """URL corpus from ``pages``: one multipart message per page."""
-    p = table(spark, sf_dir, "pages")
+    p = table(spark, sf_dir, "pages", "page_id", "url")
     k, url = F.col("page_id"), F.col("url")
     defanged = F.replace(F.regexp_replace(url, "^http", "hxxp"), F.lit("."), F.lit("[.]"))
     plain = lines(
@@ -175,7 +177,7 @@ def url_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def attachment_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attachment corpus from ``part``: one attachment per message, in a nested multipart."""
-    t = table(spark, sf_dir, "part")
+    t = table(spark, sf_dir, "part", "p_partkey", "p_size")
     k = F.col("p_partkey")
     payload = F.unhex(F.element_at(F.array(*map(F.lit, PAYLOAD_HEX)), (k % 14 + 1).cast("int")))
     name = text("f", k, F.element_at(
@@ -202,7 +204,7 @@ def attachment_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bounds_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bound corpus from ``customer``: mostly small messages, some over one bound."""
-    c = table(spark, sf_dir, "customer")
+    c = table(spark, sf_dir, "customer", "c_custkey")
     k = F.col("c_custkey")
     leaf = "--wide\r\nContent-Type: text/plain\r\n\r\nx\r\n"
     leaves = F.when(k % 100 == 1, 250).when(k % 100 == 2, 199).otherwise(2)
