@@ -20,6 +20,8 @@ def build_session(master: str = "local[*]", app: str = "mailstrata", **conf: str
         "spark.sql.execution.arrow.maxRecordsPerBatch": str(ARROW_ROWS),
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
+        "spark.sql.dataFrameQueryContext.enabled": "false",
         **conf,
     }
     builder = SparkSession.builder.master(master).appName(app)
