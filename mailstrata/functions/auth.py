@@ -29,9 +29,9 @@ def split_outside_parens(value: Column, sep: str = ";") -> Column:
         shown = F.when((piece == sep) & (acc["depth"] == 0), F.lit(_CUT)).otherwise(piece)
         return F.struct(depth.alias("depth"), F.concat(acc["text"], shown).alias("text"))
 
-    pieces = F.split(value, rf"(?<=[(){sep}])|(?=[(){sep}])")
+    pieces = F.regexp_extract_all(value, F.lit(rf"[(){sep}]|[^(){sep}]+"), F.lit(0))
     folded = F.aggregate(pieces, zero, step, lambda acc: F.split(acc["text"], _CUT))
-    return F.when(value.contains("("), folded).otherwise(F.split(value, f"[{sep}]"))
+    return F.when(value.contains("("), folded).otherwise(F.split(value, sep))
 
 
 def balanced_comment(value: Column) -> Column:
@@ -63,7 +63,8 @@ def balanced_comment(value: Column) -> Column:
 
     before = F.substring_index(value, "(", 1)
     from_open = F.substring(value, F.length(before) + 1, F.length(value))
-    folded = F.aggregate(F.split(from_open, r"(?<=[()])|(?=[()])"), zero, step)
+    pieces = F.regexp_extract_all(from_open, F.lit(r"[()]|[^()]+"), F.lit(0))
+    folded = F.aggregate(pieces, zero, step)
 
     def result(acc: Column) -> Column:
         inner = strip(F.substring(acc["inner"], F.lit(2), F.length(acc["inner"])))
@@ -80,11 +81,15 @@ def known_auth_result(result: Column) -> Column:
     return F.lower(result).isin(*rules.KNOWN_AUTH_RESULTS)
 
 
+def domain_text(value: Column) -> Column:
+    """Like ``domain_of``, with an empty text where there is no domain."""
+    text = F.ltrim(strip(F.lower(value)), F.lit("@"))
+    return F.rtrim(strip(F.substring_index(text, "@", -1)), F.lit("."))
+
+
 def domain_of(value: Column) -> Column:
     """Domain of ``user@domain``, ``@domain`` or ``domain``, lower case; NULL when there is none."""
-    text = F.regexp_replace(F.lower(strip(value)), "^@+", "")
-    text = strip(F.substring_index(text, "@", -1))
-    return null_if_empty(F.regexp_replace(text, r"\.+\z", ""))
+    return null_if_empty(domain_text(value))
 
 
 def org_domain(domain: Column) -> Column:

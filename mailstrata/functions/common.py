@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 
 # Unicode white space plus the four separator controls that str.isspace() also accepts.
 SPACE = r"\s\x1c-\x1f"
+SPACE_CHARS = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+_TOKEN = rf"(?U)[^{SPACE}]+"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -38,16 +43,19 @@ def pinned(df: DataFrame, keep: Iterable[str], value: Column, name: str) -> Data
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)^[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(c, F.lit(SPACE_CHARS))
 
 
 def tokens(c: Column) -> Column:
-    """White-space separated tokens; an all-blank value gives an empty array."""
-    return F.filter(F.split(c, rf"(?U)[{SPACE}]+"), lambda t: t != "")
+    """White-space separated tokens; an all-blank value gives an empty array.
+
+    Extraction keeps one compiled pattern per task, ``split`` compiles its pattern per value.
+    """
+    return F.regexp_extract_all(c, F.lit(_TOKEN), F.lit(0))
 
 
 def first_token(c: Column) -> Column:
-    return null_if_empty(F.regexp_extract(c, rf"(?U)^[{SPACE}]*([^{SPACE}]+)", 1))
+    return F.try_element_at(tokens(c), F.lit(1))
 
 
 def null_if_empty(c: Column) -> Column:

@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from mailstrata import rules
 from mailstrata.functions.auth import (
     balanced_comment,
-    domain_of,
+    domain_text,
     known_auth_result,
     org_domain,
     split_outside_parens,
 )
 from mailstrata.functions.common import (
     after_index,
+    first_match,
     first_token,
     let,
     null_if_empty,
@@ -206,8 +207,9 @@ def spf_rows(df: DataFrame) -> DataFrame:
 
 def property_domain(properties: Column, keys: tuple[str, ...]) -> Column:
     """First usable domain over ``keys`` in order; the placeholder ``none`` is no domain."""
-    return F.coalesce(*[
-        F.nullif(domain_of(F.try_element_at(properties, F.lit(k))), F.lit("none")) for k in keys])
+    stated = F.transform(F.array(*map(F.lit, keys)),
+                         lambda k: domain_text(F.try_element_at(properties, k)))
+    return first_match(stated, lambda d: ~d.isin("", "none"))
 
 
 def claimed_domains(label: str) -> Column:
@@ -231,9 +233,9 @@ def alignment(domain: Column, from_domain: Column) -> Column:
 def conflicting_methods(results: Column) -> Column:
     """ARRAY<STRUCT<method, results MAP<result, ARRAY<authserv_id>>>> for methods with more than one
     distinct result. Rows are sorted once; neighbours tell which methods disagree."""
-    ranked = F.array_sort(F.array_distinct(F.transform(
+    ranked = F.array_sort(F.transform(
         results, lambda r: F.struct(r["method"].alias("m"), r["result"].alias("r"),
-                                    r["authserv_id"].alias("a")))))
+                                    r["authserv_id"].alias("a"))))
 
     def read(rows: Column) -> Column:
         def clash(e: Column, i: Column) -> Column:
@@ -246,8 +248,8 @@ def conflicting_methods(results: Column) -> Column:
             mine = F.filter(rows, lambda e: e["m"] == m)
             return F.struct(m.alias("method"), F.map_from_entries(F.transform(
                 F.array_distinct(F.transform(mine, lambda e: e["r"])),
-                lambda r: F.struct(r.alias("key"), F.transform(
-                    F.filter(mine, lambda e: e["r"] == r), lambda e: e["a"]).alias("value"))
+                lambda r: F.struct(r.alias("key"), F.array_distinct(F.transform(
+                    F.filter(mine, lambda e: e["r"] == r), lambda e: e["a"])).alias("value"))
             )).alias("results"))
 
         return F.transform(methods, detail)

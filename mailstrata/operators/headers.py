@@ -23,7 +23,7 @@ _BLANK = r" \t\n\r\x0b\f"
 
 
 def _trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^[{_BLANK}]+|[{_BLANK}]+\z", "")
+    return F.btrim(c, F.lit(" \t\n\r\x0b\x0c"))
 
 
 def _unfolded(line: Column) -> Column:

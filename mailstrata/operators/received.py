@@ -29,8 +29,9 @@ HOP_FIELDS = (
     "timestamp_original", "timestamp_epoch", "timestamp_utc", "timestamp_valid", "raw",
 )
 
-# Cuts a value before each keyword, so a piece is a keyword and its text.
-_BEFORE_KEYWORD = rf"(?iU)(?=\b(?:{'|'.join(rules.RECEIVED_KEYWORDS)})\b)"
+_KEYWORD = rf"\b(?:{'|'.join(rules.RECEIVED_KEYWORDS)})\b"
+# A keyword and the text up to the next one.
+_CLAUSE = rf"(?isU){_KEYWORD}.*?(?={_KEYWORD}|\z)"
 
 
 def _stamp(value: Column) -> Column:
@@ -78,7 +79,7 @@ def with_hops(df: DataFrame) -> DataFrame:
     df = df.withColumns({
         "timestamp_original": _stamp(F.col("raw")),
         "previous_stamp": _stamp(F.col("hop.previous")),
-        "segments": F.split(body, _BEFORE_KEYWORD),
+        "segments": F.regexp_extract_all(body, F.lit(_CLAUSE), F.lit(0)),
     })
     df = df.withColumns({
         "timestamp_epoch": rfc5322_epoch(F.col("timestamp_original")),

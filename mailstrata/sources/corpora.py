@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mailstrata.functions.common import pinned
 from mailstrata.session import spread
 from mailstrata.sources.mail import from_table
 
@@ -58,6 +59,12 @@ def text(*parts: Column | str | int) -> Column:
         (p if isinstance(p, Column) else F.lit(str(p))).cast("string") for p in parts])
 
 
+def _messages(rows: DataFrame, path: Column, body: Column) -> DataFrame:
+    """Rendered once: what follows refers to the text, not to the expression that writes it."""
+    named = pinned(rows, rows.columns, body.cast("binary"), "raw")
+    return from_table(named.select(path.alias("source_path"), "raw"))
+
+
 def mail_time(ts: Column) -> Column:
     """RFC 5322 text of a TIMESTAMP_NTZ read as UTC."""
     return F.concat(F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000"))
@@ -101,7 +108,7 @@ def chain_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(uid % 7 == 0, F.lit("X-Mailer: Sample\r\n Mailer")),
         "MIME-Version: 1.0", "Content-Type: Text/Plain; charset=utf-8", "", "body", "")
     path = text("m1/", uid, "/", F.col("block"), ".eml")
-    return from_table(chains.select(path.alias("source_path"), body.alias("raw")))
+    return _messages(chains, path, body)
 
 
 def auth_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +151,7 @@ def auth_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[noisy(n) for n in range(1, 7)],
         text("From: Billing <billing@", domain, ">"), "To: you@example.com",
         text("Subject: order ", k), "", "body", "")
-    return from_table(o.select(text("m2/", k, ".eml").alias("source_path"), body.alias("raw")))
+    return _messages(o, text("m2/", k, ".eml"), body)
 
 
 def url_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +179,7 @@ def url_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "MIME-Version: 1.0", 'Content-Type: multipart/alternative; boundary="cut"', "",
         "--cut", "Content-Type: text/plain; charset=utf-8", "", plain,
         "--cut", "Content-Type: text/html; charset=utf-8", "", html, "--cut--", "")
-    return from_table(p.select(text("m3/", k, ".eml").alias("source_path"), body.alias("raw")))
+    return _messages(p, text("m3/", k, ".eml"), body)
 
 
 def attachment_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,7 +206,7 @@ def attachment_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("p_size") % 10 == 0, F.lit("Content-Disposition: attachment")).otherwise(
             text('Content-Disposition: attachment; filename="', name, '"')),
         "", F.base64(payload), "--outer--", "")
-    return from_table(t.select(text("m4/", k, ".eml").alias("source_path"), body.alias("raw")))
+    return _messages(t, text("m4/", k, ".eml"), body)
 
 
 def bounds_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,4 +227,4 @@ def bounds_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("From: a@example.org\r\nDate: Mon, 01 Jan 2024 00:00:00 +0000\r\n"),
         long_header, F.lit("MIME-Version: 1.0\r\n"),
         F.when((k % 100 == 3) | (k % 100 == 4), deep).otherwise(wide))
-    return from_table(c.select(text("m5/", k, ".eml").alias("source_path"), body.alias("raw")))
+    return _messages(c, text("m5/", k, ".eml"), body)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mailstrata.functions.common import pinned
 from mailstrata.functions.content import evidence_id, sha256_hex
 from mailstrata.limits import Limits
 
@@ -75,7 +76,7 @@ def fingerprint(messages: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
     df = messages.withColumn("sha256", sha256_hex(F.col("raw")))
     df = df.withColumn("evidence_id", evidence_id(F.col("sha256")))
-    df = df.withColumn("head", header_block(F.col("raw")))
+    df = pinned(df, df.columns, header_block(F.col("raw")), "head")
     df = df.withColumn(
         "reject",
         F.when(F.col("size_bytes") > limits.message_bytes,
