@@ -13,6 +13,7 @@ from mailstrata.functions.common import pinned
 from mailstrata.functions.content import evidence_id, sha256_hex
 from mailstrata.limits import Limits
 
+RAW_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 REJECT_TYPE = "struct<reason:string,observed:bigint,limit:bigint>"
 
 
@@ -20,8 +21,12 @@ def read_messages(spark: SparkSession, path: str, limits: Limits = Limits(),
                   glob: str = "*.eml") -> DataFrame:
     """Message files below ``path``. The size bound is pushed into the scan: larger files are listed
     but never read (see ``oversize_files``). Compact into parquet before repeated use."""
-    files = _landing(spark, path, glob)
-    return files.where(F.col("length") <= limits.message_bytes).select(
+    return from_files(_landing(spark, path, glob).where(F.col("length") <= limits.message_bytes))
+
+
+def from_files(files: DataFrame) -> DataFrame:
+    """Rows of a ``binaryFile`` source as messages."""
+    return files.select(
         F.col("path").alias("source_path"),
         F.col("modificationTime").alias("modification_time"),
         F.col("length").alias("size_bytes"),
