@@ -39,13 +39,20 @@ from mailstrata.operators.observations import (
 )
 
 def last_wins(entries: Column) -> Column:
-    """MAP of ARRAY<STRUCT<k,v>>; a repeated key keeps its last value (sort, then compare
-    neighbours)."""
-    ranked = F.array_sort(F.transform(
-        entries, lambda e, i: F.struct(e["k"].alias("k"), i.alias("i"), e["v"].alias("v"))))
-    return let(ranked, lambda r: F.map_from_entries(F.transform(
-        F.filter(r, lambda e, i: ~e["k"].eqNullSafe(F.get(r, i + 1)["k"])),
-        lambda e: F.struct(e["k"].alias("key"), e["v"].alias("value")))))
+    """MAP of ARRAY<STRUCT<k,v>>; a repeated key keeps its last value.
+
+    Up to one entry there is nothing to settle; else sort by key and position and keep the last of
+    each run of equal keys.
+    """
+
+    def settle(all_entries: Column) -> Column:
+        ranked = F.sort_array(F.transform(all_entries, lambda e, i: F.struct(
+            e["k"].alias("k"), i.alias("i"), e["v"].alias("v"))))
+        return let(ranked, lambda r: F.map_from_entries(F.transform(
+            F.filter(r, lambda e, i: ~e["k"].eqNullSafe(F.get(r, i + 1)["k"])),
+            lambda e: F.struct(e["k"].alias("k"), e["v"].alias("v")))))
+
+    return let(entries, lambda e: F.when(F.size(e) < 2, F.map_from_entries(e)).otherwise(settle(e)))
 
 
 def _pair(text: Column) -> Column:
@@ -57,14 +64,19 @@ def _pair(text: Column) -> Column:
 # --- Authentication-Results ---------------------------------------------------------------
 
 
-def _clause(clause: Column) -> Column:
-    """STRUCT<problem, method, result, reason, properties>; a blank clause has neither."""
+def _clause(clause: Column, authserv_id: Column, raw: Column) -> Column:
+    """STRUCT<problem, clause, method, result, reason, properties, authserv_id, raw>.
+
+    ``problem`` is NULL for a result; a blank clause is neither a result nor a warning.
+    """
     name = F.substring_index(clause, "=", 1)
-    method = F.lower(strip(name))
-    comment = balanced_comment(strip(after_index(clause, F.length(name) + 2)))
+
+    def words_of(c: Column) -> Column:
+        return F.struct(tokens(c["rest"]).alias("words"), c["comment"].alias("reason"),
+                        F.lower(strip(name)).alias("method"))
 
     def read(b: Column) -> Column:
-        words, reason = b["words"], b["comment"]["comment"]
+        words, method = b["words"], b["method"]
         result = F.lower(F.get(words, F.lit(0)))
         pairs = F.transform(
             F.filter(F.slice(words, F.lit(2), F.size(words)), lambda t: t.contains("=")), _pair)
@@ -72,42 +84,39 @@ def _clause(clause: Column) -> Column:
             F.when(clause == "", F.lit("blank"))
             .when(~clause.contains("="), F.lit("auth-results-clause-no-equals"))
             .when(~method.rlike(rules.AUTH_METHOD_PATTERN), F.lit("auth-results-bad-method"))
-            .when(result.isNull(), F.lit("auth-results-missing-result"))
+            .when(F.size(words) == 0, F.lit("auth-results-missing-result"))
         )
         return F.struct(
             problem.alias("problem"), clause.alias("clause"), method.alias("method"),
-            result.alias("result"), reason.alias("reason"),
-            last_wins(F.filter(pairs, lambda p: p["k"] != "")).alias("properties"))
+            result.alias("result"), b["reason"].alias("reason"),
+            last_wins(F.filter(pairs, lambda p: p["k"] != "")).alias("properties"),
+            authserv_id.alias("authserv_id"), raw.alias("raw"))
 
-    bound = let(comment, lambda c: F.struct(tokens(c["rest"]).alias("words"), c.alias("comment")))
-    return let(bound, read)
+    comment = let(strip(after_index(clause, F.length(name) + 2)), balanced_comment)
+    return let(let(comment, words_of), read)
 
 
 def authentication_results(value: Column) -> Column:
-    """STRUCT<authserv_id, no_clauses, clauses, raw> of one header value."""
+    """STRUCT<no_clauses, clauses, raw> of one header value."""
 
     def read(segments: Column) -> Column:
         first = strip(F.get(segments, F.lit(0)))
         alone = F.size(segments) == 1
-        server = F.when(alone, null_if_empty(first)).otherwise(first_token(first))
-        return F.struct(
-            F.coalesce(server, F.lit("unknown")).alias("authserv_id"),
+        server = F.coalesce(F.when(~alone, first_token(first)), F.lit("unknown"))
+        return let(server, lambda authserv: F.struct(
             alone.alias("no_clauses"),
             F.transform(F.slice(segments, F.lit(2), F.size(segments)),
-                        lambda c: let(strip(c), _clause)).alias("clauses"),
-            value.alias("raw"))
+                        lambda c: let(strip(c), lambda x: _clause(x, authserv, value)))
+            .alias("clauses"),
+            value.alias("raw")))
 
     return let(split_outside_parens(value), read)
 
 
 def _results(parsed: Column) -> Column:
     """Accepted clauses of all headers, flat, in order."""
-    return F.flatten(F.transform(parsed, lambda h: F.transform(
-        F.filter(h["clauses"], lambda c: c["problem"].isNull()),
-        lambda c: F.struct(
-            c["method"].alias("method"), c["result"].alias("result"), c["reason"].alias("reason"),
-            c["properties"].alias("properties"), h["authserv_id"].alias("authserv_id"),
-            h["raw"].alias("raw")))))
+    return F.flatten(F.transform(parsed, lambda h: F.filter(
+        h["clauses"], lambda c: c["problem"].isNull())))
 
 
 # --- DKIM-Signature -----------------------------------------------------------------------
@@ -190,8 +199,10 @@ def _claim_rows(df: DataFrame, column: str, name: str) -> DataFrame:
 
 
 def auth_result_rows(df: DataFrame) -> DataFrame:
-    return _claim_rows(df, "auth_results", "r").select("source_path", "evidence_id", "ordinal", "r.*",
-                       known_auth_result(F.col("r.result")).alias("known_result"))
+    fields = ("method", "result", "reason", "properties", "authserv_id", "raw")
+    return _claim_rows(df, "auth_results", "r").select(
+        "source_path", "evidence_id", "ordinal", *[f"r.{f}" for f in fields],
+        known_auth_result(F.col("r.result")).alias("known_result"))
 
 
 def dkim_rows(df: DataFrame) -> DataFrame:
@@ -220,7 +231,7 @@ def claimed_domains(label: str) -> Column:
         lambda r: property_domain(r["properties"], keys))
     if label == "dkim":  # a signature's own d= is compared as written
         stated = F.concat(stated, F.transform("dkim_signatures", lambda s: s["d"]))
-    return F.array_sort(F.array_distinct(F.filter(stated, lambda d: d.isNotNull())))
+    return F.sort_array(F.array_distinct(F.filter(stated, lambda d: d.isNotNull())))
 
 
 def alignment(domain: Column, from_domain: Column) -> Column:
@@ -233,7 +244,7 @@ def alignment(domain: Column, from_domain: Column) -> Column:
 def conflicting_methods(results: Column) -> Column:
     """ARRAY<STRUCT<method, results MAP<result, ARRAY<authserv_id>>>> for methods with more than one
     distinct result. Rows are sorted once; neighbours tell which methods disagree."""
-    ranked = F.array_sort(F.transform(
+    ranked = F.sort_array(F.transform(
         results, lambda r: F.struct(r["method"].alias("m"), r["result"].alias("r"),
                                     r["authserv_id"].alias("a"))))
 
@@ -264,7 +275,7 @@ def auth_observations(df: DataFrame) -> DataFrame:
         "spf_domains": claimed_domains("spf"),
         "dkim_domains": claimed_domains("dkim"),
         "conflicts": conflicting_methods(F.col("auth_results")),
-        "ar_spf": F.array_sort(F.array_distinct(F.transform(
+        "ar_spf": F.sort_array(F.array_distinct(F.transform(
             F.filter("auth_results", lambda r: r["method"] == "spf"), lambda r: r["result"]))),
     })
     nothing = (F.size("auth_results") + F.size("dkim_signatures") + F.size("received_spf")) == 0

@@ -140,7 +140,7 @@ def merged_urls(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
         F.min("mismatch").alias("mismatch"),
         F.sum(F.when(F.col("defanged_in_source"), F.col("count")).otherwise(0))
         .alias("defanged_sightings"),
-        F.transform(F.array_sort(F.collect_list(source)), lambda s: s.dropFields("ord"))
+        F.transform(F.sort_array(F.collect_list(source)), lambda s: s.dropFields("ord"))
         .alias("sources"))
 
 

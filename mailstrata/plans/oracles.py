@@ -138,6 +138,27 @@ SELECT page_id, 'text' AS category,
             ELSE 'text' END AS label
 FROM pages"""
 
+ORACLES["document_identification"] = r"""
+WITH sample AS (
+  SELECT doc_id, text,
+         length(regexp_replace(left(text, 4096), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'))
+           AS printable,
+         length(left(text, 4096)) AS chars
+  FROM documents)
+SELECT doc_id, CASE
+  WHEN text = '' THEN 'empty'
+  WHEN starts_with(text, 'MZ') THEN 'windows-pe'
+  WHEN starts_with(text, '%PDF-') THEN 'pdf'
+  WHEN starts_with(text, 'GIF87a') OR starts_with(text, 'GIF89a') THEN 'gif'
+  WHEN starts_with(text, 'BM') THEN 'bmp'
+  WHEN starts_with(text, '{\rtf') THEN 'rtf'
+  WHEN starts_with(text, '<?xml') THEN 'xml'
+  WHEN starts_with(text, '#!/') THEN 'script'
+  WHEN regexp_matches(left(text, 512), '(?i)^[ \t\n\r\x0b\f]*(<html|<!doctype html)') THEN 'html'
+  WHEN NOT contains(text, chr(0)) AND printable >= 0.9 * chars THEN 'text'
+  ELSE 'unknown' END AS label
+FROM sample"""
+
 # --- relay corpus ---------------------------------------------------------------------------
 
 _HOP = """

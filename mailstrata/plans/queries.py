@@ -284,13 +284,13 @@ def received_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def auth_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = auth.auth_result_rows(_claims(spark, sf_dir))
+    rows = auth.auth_result_rows(_claims(spark, sf_dir)).withColumns({
+        "domain": auth.property_domain(F.col("properties"), rules.CLAIM_DOMAIN_KEYS),
+        "display_domain": auth.property_domain(F.col("properties"), rules.DISPLAY_DOMAIN_KEYS),
+    })
     return rows.select(
         "source_path", "ordinal", "authserv_id", "method", "result", "known_result", "reason",
-        F.size("properties").alias("properties"),
-        auth.property_domain(F.col("properties"), rules.CLAIM_DOMAIN_KEYS).alias("domain"),
-        auth.property_domain(F.col("properties"), rules.DISPLAY_DOMAIN_KEYS)
-        .alias("display_domain"))
+        F.size("properties").alias("properties"), "domain", "display_domain")
 
 
 @query
