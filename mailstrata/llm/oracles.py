@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from mailstrata.llm.licenses import NOTICES, TEXTS, canonical_sql
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 _QUALITY = rf"""
 WITH docs AS (
   SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS text, {_WORDS} AS words,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM documents),
 words AS (SELECT rn, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM docs),
 windows AS (
@@ -52,4 +54,27 @@ judged AS (
 SELECT *, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept FROM judged
 """
 
-ORACLES: dict[str, str] = {"op3_quality_rules": _QUALITY}
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _fixed(rows: tuple[tuple[str, str], ...]) -> str:
+    values = ", ".join(f"({_quoted(i)}, {_quoted(body)})" for i, body in rows)
+    return f"SELECT DISTINCT sha256({canonical_sql('body')}) AS digest, license_id FROM (VALUES {values}) v(license_id, body)"
+
+
+_LICENSES = f"""
+WITH texts AS ({_fixed(TEXTS)}), notices AS ({_fixed(NOTICES)}),
+docs AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS text FROM documents),
+lines AS (SELECT rn, unnest(string_split(text, chr(10))) AS line FROM docs),
+found AS (
+  SELECT rn, count(*) AS n, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS ids
+  FROM lines JOIN notices ON sha256({canonical_sql('line')}) = notices.digest GROUP BY rn),
+digested AS (SELECT rn, doc_id, sha256({canonical_sql('text')}) AS digest FROM docs)
+SELECT doc_id, digest, license_id, coalesce(ids, '') AS notice_ids, CAST(coalesce(n, 0) AS BIGINT) AS n_notices
+FROM digested LEFT JOIN texts USING (digest) LEFT JOIN found USING (rn)
+"""
+
+ORACLES: dict[str, str] = {"op1_license_scan": _LICENSES, "op3_quality_rules": _QUALITY}

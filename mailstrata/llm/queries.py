@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailstrata.llm import bpe, quality, sharding, simhash, tokenbin
+from mailstrata.llm import bpe, chat, decontaminate, licenses, pii, quality, sharding, simhash, tokenbin
 from mailstrata.llm.common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical digest, license of the whole text and notices of every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text by prefix dynamic programming, and the text decoded from them, as digests."""
     return bpe.round_trip(table(spark, sf_dir, "documents"))
@@ -36,10 +41,31 @@ def op5_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in a document, with its best window; clean documents have no row."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place, count and checksum of every document's ids, read back from the files they were written to."""
     return tokenbin.read_back(tokenbin.write_files(table(spark, sf_dir, "documents")))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles of all conversations' lines and their canonical turns."""
+    return chat.segments(table(spark, sf_dir, "conversations"))
+
+
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with surrogates for personal data, and how many entities were replaced."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.col("text")
+    replaced = F.size(F.filter(pii.entities(text), lambda m: pii.kind_of(m).isNotNull()))
+    return docs.select("doc_id", pii.replaced(text).alias("text"),
+                       F.when(text.rlike(pii.HINT), replaced).otherwise(0).cast("long").alias("n_replaced"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_bpe, op3_quality_rules, op4_sharding, op5_simhash_neardup, op7_token_files)}
+    f.__name__: f for f in (
+        op1_license_scan, op2_bpe, op3_quality_rules, op4_sharding, op5_simhash_neardup, op6_decontaminate,
+        op7_token_files, op8_chat_format, op10_pii_surrogates)}
