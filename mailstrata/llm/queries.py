@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailstrata.llm import bpe, chat, decontaminate, licenses, pii, quality, sharding, simhash, tokenbin
+from mailstrata.llm import bpe, chat, decontaminate, licenses, pii, quality, scoring, sharding, simhash, tokenbin
 from mailstrata.llm.common import table
 
 
@@ -56,6 +56,11 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.segments(table(spark, sf_dir, "conversations"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document by the bigram model of the training folds."""
+    return scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with surrogates for personal data, and how many entities were replaced."""
     docs = table(spark, sf_dir, "documents")
@@ -68,4 +73,4 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_license_scan, op2_bpe, op3_quality_rules, op4_sharding, op5_simhash_neardup, op6_decontaminate,
-        op7_token_files, op8_chat_format, op10_pii_surrogates)}
+        op7_token_files, op8_chat_format, op9_lm_score, op10_pii_surrogates)}
