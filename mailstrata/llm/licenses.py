@@ -74,7 +74,7 @@ use this software in a product, an acknowledgment in the product documentation w
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""),
 )
-#: Notices of one line (fixed values); each holds a word of _HINT.
+#: Notices of one line (fixed values); each holds a word of HINT.
 NOTICES = (
     ("MIT", "Released under the MIT License."), ("MIT", "Licensed under the MIT License."),
     ("MIT", "SPDX-License-Identifier: MIT"),
@@ -85,7 +85,7 @@ NOTICES = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"), ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
 )
-_HINT = "(?i)licen[sc]e"
+HINT = "(?i)licen[sc]e"
 
 #: (pattern, replacement) in order, in the common part of both engines' syntax.
 STEPS = (
@@ -127,7 +127,7 @@ def scan(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") ->
     notices = known(spark, NOTICES)
     lookup = F.create_map(*[F.lit(x) for item in notices.items() for x in item])
     text = named(text_column).cast("string")
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: line.rlike(_HINT))
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: line.rlike(HINT))
     found = F.filter(F.transform(lines, lambda line: lookup[F.sha2(canonical(line), 256)]), lambda x: x.isNotNull())
     rows = df.select(named(id_column).cast("long").alias("doc_id"), F.sha2(canonical(text), 256).alias("digest"),
                      found.alias("found"))
