@@ -27,31 +27,26 @@ def extension_chain(filename: Column) -> Column:
                   F.transform(chain, F.lower)).otherwise(F.expr("cast(array() as array<string>)"))
 
 
-def _latin1(raw: Column, size: int) -> Column:
-    return F.decode(F.substring(raw, 1, size), "ISO-8859-1")
-
-
 def looks_like_html(raw: Column) -> Column:
-    return _latin1(raw, rules.HTML_SAMPLE_BYTES).rlike(
+    return F.decode(raw, "ISO-8859-1").rlike(
         r"(?i)^[ \t\n\r\x0b\f]*(?:<html|<!doctype html)")
 
 
 def looks_like_text(raw: Column) -> Column:
-    """No NUL in the sample and at least 90% printable, read as UTF-8 if valid, else Latin-1."""
-    sample = F.substring(raw, 1, rules.TEXT_SAMPLE_BYTES)
-    utf8 = sample.cast("string")
-    text = F.when(F.is_valid_utf8(utf8), utf8).otherwise(F.decode(sample, "ISO-8859-1"))
+    """No NUL and at least 90% printable, over all bytes, read as UTF-8 if valid, else Latin-1."""
+    utf8 = raw.cast("string")
+    text = F.when(F.is_valid_utf8(utf8), utf8).otherwise(F.decode(raw, "ISO-8859-1"))
 
     def printable(t: Column) -> Column:
         odd = F.regexp_count(t, F.lit(r"[\p{C}\p{Z}&&[^ \r\n\t]]"))
         return (F.length(t) - odd) / F.length(t) >= rules.PRINTABLE_SHARE
 
-    has_nul = F.contains(sample, F.lit(b"\x00"))
+    has_nul = F.contains(raw, F.lit(b"\x00"))
     return (F.octet_length(raw) > 0) & ~has_nul & let(text, printable)
 
 
 def identify_bytes(raw: Column) -> Column:
-    """STRUCT<category, label, detail> of the leading bytes; unknown content stays ``unknown``."""
+    """STRUCT<category, label, detail> of the bytes; unknown content stays ``unknown``."""
 
     def kind(category: str, label: str, detail: str) -> Column:
         return F.struct(F.lit(category).alias("category"), F.lit(label).alias("label"),

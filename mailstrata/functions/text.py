@@ -36,10 +36,11 @@ def clean_url_text(text: Column) -> Column:
                 lengths.append(F.length(after_kept))
             return F.left(url, F.length(url) - F.least(*lengths))
 
-        return F.when(url.rlike(r"[)\]}'\"]\z"),
-                      let(F.regexp_extract(url, r"([)\]}'\"]+)\z", 1), drop)).otherwise(url)
+        # Trimming from the end, not a pattern: linear wherever runs of such characters stand.
+        run = F.length(url) - F.length(F.rtrim(url, F.lit(")]}'\"")))
+        return let(F.right(url, run), drop)
 
-    return let(F.regexp_replace(text, r"[.,;:!?]+\z", ""), cut)
+    return let(F.rtrim(text, F.lit(".,;:!?")), cut)
 
 
 def looks_defanged(text: Column) -> Column:

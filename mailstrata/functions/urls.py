@@ -78,7 +78,7 @@ def _host_and_port(c: Lookup) -> dict[str, Column]:
     ).otherwise(F.regexp_extract(c("host_info"), r"(?s)^[^:]*:(.*)\z", 1))
     no_fragment = F.substring_index(c("after"), "#", 1)
     return {
-        "host": F.regexp_replace(F.lower(host), r"\.+\z", ""),
+        "host": F.rtrim(F.lower(host), F.lit(".")),
         "port_text": null_if_empty(port),
         "no_fragment": no_fragment,
         "fragment": after_index(c("after"), F.length(no_fragment) + 2),

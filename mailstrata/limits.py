@@ -9,15 +9,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 MIB = 1024 * 1024
+#: No bound; larger than any size or count.
+UNBOUNDED = 1 << 62
 
 
 @dataclass(frozen=True)
 class Limits:
-    # Reject bounds.
-    message_bytes: int = 25 * MIB
-    header_bytes: int = 1 * MIB
-    mime_parts: int = 200
-    mime_depth: int = 16
+    # Reject bounds: none unless the caller sets one. The depth alone is bounded, by the MIME parser,
+    # which recurses.
+    message_bytes: int = UNBOUNDED
+    header_bytes: int = UNBOUNDED
+    mime_parts: int = UNBOUNDED
+    mime_depth: int = 64
     # Container bounds.
     archive_depth: int = 3
     archive_entries: int = 500
@@ -25,8 +28,8 @@ class Limits:
     # Awareness threshold for large attachments.
     oversized_bytes: int = 10 * MIB
     # URL scan bounds.
-    text_parts: int = 50
-    text_bytes: int = 1_000_000
-    url_candidates: int = 2000
+    text_parts: int = UNBOUNDED
+    text_bytes: int = UNBOUNDED
+    url_candidates: int = UNBOUNDED
     # Display width of the overview.
     display_chars: int = 200

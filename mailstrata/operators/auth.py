@@ -347,27 +347,31 @@ def _spf_observations(s: Column, i: Column) -> Column:
 # --- warnings -----------------------------------------------------------------------------
 
 
+# Sequence numbers left for the clauses of one header: more than any column value has bytes for.
+_ROOM = 1 << 29
+
+
 def auth_warnings(df: DataFrame) -> DataFrame:
     df = with_parsed(df.select("source_path", "fields"))
 
     def of_results(h: Column, i: Column) -> Column:
-        seq = i.cast("bigint") * 100000
+        seq = i.cast("bigint") * _ROOM
         clauses = F.transform(
             F.filter(h["clauses"], lambda c: c["problem"].isNotNull() & (c["problem"] != "blank")),
-            lambda c, k: _coded(seq + k + 1, c["problem"], F.left(c["clause"], F.lit(80))))
+            lambda c, k: _coded(seq + k + 1, c["problem"], c["clause"]))
         return F.concat(present((h["no_clauses"], _coded(
-            seq, F.lit("auth-results-no-clauses"), F.left(h["raw"], F.lit(80))))), clauses)
+            seq, F.lit("auth-results-no-clauses"), h["raw"]))), clauses)
 
     def of_dkim(h: Column, i: Column) -> Column:
-        seq = i.cast("bigint") * 100000 + (1 << 40)
+        seq = i.cast("bigint") * _ROOM + (1 << 60)
         segments = F.transform(h["bad"], lambda code, k: _coded(seq + k, code, h["raw"]))
         return F.concat(segments, present(
-            (F.size(h["tags"]) == 0, _coded(seq + 99998, F.lit("dkim-no-tags"), h["raw"])),
+            (F.size(h["tags"]) == 0, _coded(seq + (_ROOM - 2), F.lit("dkim-no-tags"), h["raw"])),
             ((F.size(h["tags"]) > 0) & ~F.map_contains_key(h["tags"], "d"),
-             _coded(seq + 99999, F.lit("dkim-missing-d"), h["raw"]))))
+             _coded(seq + (_ROOM - 1), F.lit("dkim-missing-d"), h["raw"]))))
 
     def of_spf(h: Column, i: Column) -> Column:
-        seq = i * 4 + (2 << 40)
+        seq = i.cast("bigint") * 4 + (2 << 60)
         return present(
             (h["empty"], _coded(seq, F.lit("received-spf-empty"), h["raw"])),
             (~h["balanced"], _coded(seq + 1, F.lit("received-spf-unbalanced-paren"), h["raw"])),

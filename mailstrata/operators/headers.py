@@ -19,8 +19,6 @@ from mailstrata.functions.common import (
 )
 from mailstrata.functions.dates import iso_utc, rfc5322_epoch
 
-_BLANK = r" \t\n\r\x0b\f"
-
 
 def _trimmed(c: Column) -> Column:
     return F.btrim(c, F.lit(" \t\n\r\x0b\x0c"))
@@ -28,8 +26,9 @@ def _trimmed(c: Column) -> Column:
 
 def _unfolded(line: Column) -> Column:
     """Join continuation lines by one space; only continuation lines lose blanks at both ends."""
-    tidy = F.regexp_replace(line, rf"(\n[^\n]*?)[{_BLANK}]+(?=\n|\z)", "$1")
-    joined = F.regexp_replace(tidy, rf"\r*\n[ \t\r\x0b\f]*", " ")
+    parts = F.split(line, "\n")
+    joined = F.array_join(F.transform(parts, lambda part, i: F.when(
+        i == 0, F.rtrim(part, F.lit("\r"))).otherwise(_trimmed(part))), " ")
     return F.when(line.contains("\n"), joined).otherwise(line)
 
 

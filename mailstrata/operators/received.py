@@ -87,7 +87,7 @@ def with_hops(df: DataFrame) -> DataFrame:
         "from_segment": _segment("from"),
         "by_segment": _segment("by"),
         "with_protocol": first_token(_segment("with")),
-        "hop_id": F.regexp_replace(first_token(_segment("id")), r";+\z", ""),
+        "hop_id": F.rtrim(first_token(_segment("id")), F.lit(";")),
     })
     for side in ("from", "by"):
         df = df.withColumns({

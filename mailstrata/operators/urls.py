@@ -198,8 +198,8 @@ def _count_observation() -> Column:
 
 def _url_observations() -> Column:
     url, host = F.col("url"), F.col("host")
-    place = (F.col("ord.source_ord").cast("bigint") * (1 << 38)
-             + F.col("ord.piece_ord") * (1 << 18) + F.least("ord.match_ord", F.lit(4095)) * 16)
+    place = (F.col("ord.source_ord").cast("bigint") * (1 << 46)
+             + F.col("ord.piece_ord").cast("bigint") * (1 << 26) + F.col("ord.match_ord").cast("bigint") * 16)
     names = F.transform("query_params", lambda p: p["name"])
     shown = clean_url_text(strip(F.col("mismatch.anchor_text")))
     items = [
@@ -258,7 +258,7 @@ def url_warnings(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
         (F.col("rank") + F.lit(1 << 32)).cast("bigint").alias("seq"),
         F.when(late, "url-candidate-cap").otherwise("url-unparseable").alias("code"),
         F.when(late, F.concat(F.col("found").cast("string"), F.lit(f" found, first {cap} kept")))
-        .otherwise(F.left("candidate", F.lit(80))).alias("detail"),
+        .otherwise(F.col("candidate")).alias("detail"),
         F.lit(None).cast("string").alias("part"))
     failed = linked_sources(df).where(F.col("html_links.failed").isNotNull()).select(
         "source_path", F.lit("urls").alias("stage"),

@@ -134,16 +134,16 @@ FROM flat"""
 
 ORACLES["page_identification"] = r"""
 SELECT page_id, 'text' AS category,
-       CASE WHEN regexp_matches(left(html, 512), '(?i)^\s*(<html|<!doctype html)') THEN 'html'
+       CASE WHEN regexp_matches(html, '(?i)^\s*(<html|<!doctype html)') THEN 'html'
             ELSE 'text' END AS label
 FROM pages"""
 
 ORACLES["document_identification"] = r"""
 WITH sample AS (
   SELECT doc_id, text,
-         length(regexp_replace(left(text, 4096), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'))
+         length(regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'))
            AS printable,
-         length(left(text, 4096)) AS chars
+         length(text) AS chars
   FROM documents)
 SELECT doc_id, CASE
   WHEN text = '' THEN 'empty'
@@ -154,7 +154,7 @@ SELECT doc_id, CASE
   WHEN starts_with(text, '{\rtf') THEN 'rtf'
   WHEN starts_with(text, '<?xml') THEN 'xml'
   WHEN starts_with(text, '#!/') THEN 'script'
-  WHEN regexp_matches(left(text, 512), '(?i)^[ \t\n\r\x0b\f]*(<html|<!doctype html)') THEN 'html'
+  WHEN regexp_matches(text, '(?i)^[ \t\n\r\x0b\f]*(<html|<!doctype html)') THEN 'html'
   WHEN NOT contains(text, chr(0)) AND printable >= 0.9 * chars THEN 'text'
   ELSE 'unknown' END AS label
 FROM sample"""

@@ -31,7 +31,7 @@ from mailstrata.functions import (
 from mailstrata.functions.common import rows_of
 from mailstrata.functions.ip import private_ranges
 from mailstrata.functions.urls import with_url
-from mailstrata.limits import Limits
+from mailstrata.limits import MIB, Limits
 from mailstrata.operators import attachments as att
 from mailstrata.operators import auth, containers, headers, html, mime, received, urls
 from mailstrata.operators.addresses import with_from_domain, with_return_path
@@ -396,7 +396,10 @@ def missing_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def message_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mime.reject_rows(_structure(corpora.bounds_messages(spark, sf_dir))).select(
+    bounds = Limits(message_bytes=25 * MIB, header_bytes=MIB, mime_parts=200, mime_depth=16)
+    parsed = mime.flatten_messages(corpora.bounds_messages(spark, sf_dir), bounds, with_text=False,
+                                   with_payload=False)
+    return mime.reject_rows(parsed).select(
         "source_path", "reason", "limit")
 
 

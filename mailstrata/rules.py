@@ -100,8 +100,6 @@ OTHER_CONTENT = {
     "text": ("text", "printable text"),
     "unknown": ("unknown", "no known leading bytes, not printable text"),
 }
-TEXT_SAMPLE_BYTES = 4096
-HTML_SAMPLE_BYTES = 512
 PRINTABLE_SHARE = 0.9
 
 EXECUTABLE_EXTENSIONS = (

@@ -19,9 +19,14 @@ REJECT_TYPE = "struct<reason:string,observed:bigint,limit:bigint>"
 
 def read_messages(spark: SparkSession, path: str, limits: Limits = Limits(),
                   glob: str = "*.eml") -> DataFrame:
-    """Message files below ``path``. The size bound is pushed into the scan: larger files are listed
-    but never read (see ``oversize_files``). Compact into parquet before repeated use."""
-    return from_files(_landing(spark, path, glob).where(F.col("length") <= limits.message_bytes))
+    """Message files below ``path``. A size bound is pushed into the scan: larger files are listed
+    without being read and come as rows with a NULL ``raw``, which ``fingerprint`` rejects by size.
+    Compact into parquet before repeated use."""
+    files = _landing(spark, path, glob)
+    read = from_files(files.where(F.col("length") <= limits.message_bytes))
+    listed = from_files(files.where(F.col("length") > limits.message_bytes)
+                        .select("path", "modificationTime", "length").withColumn("content", F.lit(None).cast("binary")))
+    return read.unionByName(listed)
 
 
 def from_files(files: DataFrame) -> DataFrame:

@@ -434,7 +434,12 @@ def test_files_and_stream(spark, tmp_path):
     (box / "c.txt").write_bytes(b"no mail")
     limits = Limits(message_bytes=1000)
     read = read_messages(spark, str(box), limits)
-    assert [r.source_path.rsplit("/", 1)[-1] for r in read.collect()] == ["a.eml"]
+    assert sorted((r.source_path.rsplit("/", 1)[-1], r.raw is None) for r in read.collect()) == [
+        ("a.eml", False), ("b.eml", True)]
+    tables = analyze(read, areas=("headers",), limits=limits)
+    assert tables["status"].count() == 2
+    assert [(r.source_path.rsplit("/", 1)[-1], r.reason) for r in tables["rejects"].collect()] == [
+        ("b.eml", "message-too-large")]
     plan = read._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(length,1000)" in plan
     over = oversize_files(spark, str(box), limits).collect()
