@@ -74,6 +74,15 @@ def _extension_in(names: tuple[str, ...]) -> Column:
     return F.col("extension").isin(*["." + n for n in names])
 
 
+def quoted(text: Column) -> Column:
+    """A value as a quoted literal: double quotes only around text that holds single ones alone."""
+    out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    for sign, shown in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        out = F.replace(out, F.lit(sign), F.lit(shown))
+    single = F.concat(F.lit("'"), F.replace(out, F.lit("'"), F.lit("\\'")), F.lit("'"))
+    return F.when(text.contains("'") & ~text.contains('"'), F.concat(F.lit('"'), out, F.lit('"'))).otherwise(single)
+
+
 def own_observations(attachments: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Observations that need no container listing, in one narrow pass."""
     label, name = F.col("label"), F.col("filename")
@@ -96,10 +105,16 @@ def own_observations(attachments: DataFrame, limits: Limits = Limits()) -> DataF
          F.concat(F.col("size_bytes").cast("string"), F.lit(" bytes"))),
     ]
     last = _SLOTS - 1
-    basis = F.concat(F.lit("filename="), name, F.lit(" magic="), F.col("label_detail"))
+    named, magic = F.concat(F.lit("filename="), quoted(name)), F.concat(F.lit(" magic="), F.col("label_detail"))
+    basis = {
+        "extension-type-mismatch": F.concat(named, magic),
+        "declared-mime-mismatch": F.concat(F.lit("mime_claim="), quoted(F.col("mime_claim")), magic),
+        "executable-content": F.concat(named, magic),
+        "oversized-attachment": F.concat(named, F.lit(" size="), F.col("size_bytes").cast("string")),
+    }
     observed = present(*[
         (cond, observation(_slot(last if code == "oversized-attachment" else k), code, detail,
-                           F.col("part_index"), text=basis))
+                           F.col("part_index"), text=basis.get(code, named)))
         for k, (cond, code, detail) in enumerate(items)
     ])
     df = with_agreement(attachments.drop("payload")).withColumn("observed", observed)

@@ -33,8 +33,8 @@ class _Unreadable(Exception):
     pass
 
 
-class _Inventory:
-    """Rows of one attachment, in the order they are met."""
+class _Listing:
+    """Rows of one attachment."""
 
     def __init__(self, limits: Limits, part_index: str) -> None:
         self.limits = limits
@@ -43,155 +43,139 @@ class _Inventory:
         self.entries: list[dict[str, Any]] = []
         self.warnings: list[dict[str, Any]] = []
 
-    def rows(self) -> dict[str, Any]:
-        return {"containers": self.containers, "entries": self.entries, "warnings": self.warnings}
-
     def warn(self, code: str, detail: str) -> None:
         self.warnings.append({"seq": len(self.warnings), "code": code, "detail": _valid(detail),
                               "part": self.part_index})
 
-    # ZIP -------------------------------------------------------------------------------------
+    def add(self, path: str, kind: str, total: int, rows: list[tuple[str, str, int | None, bool, bool]]) -> None:
+        """One container and its listed (entry kind, name, size, locked, nested) rows."""
+        level = path.count(".")
+        self.containers.append({
+            "container_path": path, "level": level, "format": kind, "member_count": total,
+            "truncated": total > len(rows), "encrypted_entries": sum(row[3] for row in rows)})
+        names = ("entry_kind", "name", "size_bytes", "encrypted", "nested_archive")
+        self.entries += [{"container_path": path, "level": level, "ordinal": k, **dict(zip(names, row))}
+                         for k, row in enumerate(rows)]
 
-    def zip(self, data: bytes, path: str = "0", level: int = 0) -> None:
-        try:
-            archive = zipfile.ZipFile(io.BytesIO(data))
-        except Exception as exc:
-            raise _Unreadable(f"not a readable ZIP: {exc}") from exc
-        with archive:
-            members = archive.infolist()
-            listed = members[: self.limits.archive_entries]
-            container = {
-                "container_path": path, "level": level, "format": "zip",
-                "member_count": len(members), "truncated": len(members) > len(listed),
-                "encrypted_entries": sum(m.flag_bits & 1 for m in listed)}
-            self.containers.append(container)
-            for ordinal, member in enumerate(listed):
-                locked = bool(member.flag_bits & 1)
-                nested = not locked and member.filename.lower().endswith(
-                    rules.NESTED_ARCHIVE_SUFFIXES)
-                self.entries.append({
-                    "container_path": path, "level": level, "ordinal": ordinal,
-                    "entry_kind": "member", "name": _valid(member.filename),
-                    "size_bytes": None if locked else member.file_size,
-                    "encrypted": locked, "nested_archive": nested})
-                if nested and not member.is_dir():
-                    self.open_member(archive, member, f"{path}.{ordinal}", level)
-            if container["truncated"]:
-                self.warn("archive-entries-capped",
-                          f"{len(members)} members, {len(listed)} listed")
-
-    def open_member(self, archive: zipfile.ZipFile, member: zipfile.ZipInfo, path: str,
-                    level: int) -> None:
-        name = member.filename
-        if level >= self.limits.archive_depth:
-            self.warn("archive-depth-capped", f"{name}: nested deeper than the limit")
-            return
-        if member.file_size > self.limits.nested_member_bytes:
-            self.warn("archive-member-too-large", f"{name}: {member.file_size} bytes")
-            return
+
+def _members(data: bytes) -> zipfile.ZipFile:
+    try:
+        return zipfile.ZipFile(io.BytesIO(data))
+    except Exception as exc:
+        raise _Unreadable(f"not a readable ZIP: {exc}") from exc
+
+
+def _list_zip(out: _Listing, data: bytes) -> None:
+    """Lists the archive and, from a stack of paths, the archives in it: a member is listed before its
+    content, and content before the next member."""
+    bound = out.limits
+    waiting: list[tuple[str, Any]] = [("0", lambda: (_members(data), None))]
+    while waiting:
+        path, opened = waiting.pop()
+        found = opened()
+        if found is None:
+            continue
+        archive, label = found
+        members = archive.infolist()
+        listed = members[: bound.archive_entries]
+        locked = [bool(m.flag_bits & 1) for m in listed]
+        inner = [not lock and m.filename.lower().endswith(rules.NESTED_ARCHIVE_SUFFIXES)
+                 for m, lock in zip(listed, locked)]
+        out.add(path, "zip", len(members), [
+            ("member", _valid(m.filename), None if lock else m.file_size, lock, nested)
+            for m, lock, nested in zip(listed, locked, inner)])
+        if len(members) > len(listed):
+            waiting.append((path, _later(out, "archive-entries-capped",
+                                         f"{len(members)} members, {len(listed)} listed")))
+        waiting += [(f"{path}.{k}", _opener(out, archive, m, path.count(".")))
+                    for k, (m, nested) in reversed(list(enumerate(zip(listed, inner)))) if nested and not m.is_dir()]
+
+
+def _later(out: _Listing, code: str, detail: str) -> Any:
+    return lambda: out.warn(code, detail)
+
+
+def _opener(out: _Listing, archive: zipfile.ZipFile, member: zipfile.ZipInfo, level: int) -> Any:
+    """Opens a member as an archive when its turn comes; what stands against it becomes a warning."""
+    name, bound = member.filename, out.limits
+
+    def open_() -> tuple[zipfile.ZipFile, str] | None:
+        if level >= bound.archive_depth:
+            return out.warn("archive-depth-capped", f"{name}: nested deeper than the limit")
+        if member.file_size > bound.nested_member_bytes:
+            return out.warn("archive-member-too-large", f"{name}: {member.file_size} bytes")
         try:
-            inner = archive.read(name)
+            data = archive.read(member)
         except Exception as exc:
-            self.warn("archive-member-unreadable", f"{name}: {exc}")
-            return
+            return out.warn("archive-member-unreadable", f"{name}: {exc}")
         try:
-            self.zip(inner, path, level + 1)
+            return _members(data), name
         except _Unreadable as exc:
-            self.warn("archive-unreadable", f"{name}: {exc}")
+            return out.warn("archive-unreadable", f"{name}: {exc}")
 
-    # OLE -------------------------------------------------------------------------------------
+    return open_
 
-    def ole(self, data: bytes) -> None:
-        names = _ole_names(data)
-        self.containers.append({
-            "container_path": "0", "level": 0, "format": "ole", "member_count": len(names),
-            "truncated": False, "encrypted_entries": 0})
-        for ordinal, (kind, name) in enumerate(names):
-            self.entries.append({
-                "container_path": "0", "level": 0, "ordinal": ordinal, "entry_kind": kind,
-                "name": name, "size_bytes": None, "encrypted": False, "nested_archive": False})
-
-
-_OLE_MAGIC = next(magic for magic, _, label, _ in rules.MAGIC_TABLE if label == "ole")
-_FREE, _END, _FAT = 0xFFFFFFFF, 0xFFFFFFFE, 0xFFFFFFFD
-_DIRECTORY = np.dtype([
-    ("name", "V64"), ("name_bytes", "<u2"), ("kind", "u1"), ("color", "u1"),
-    ("left", "<i4"), ("right", "<i4"), ("child", "<i4"), ("rest", "V48"),
-])
+
+# Compound files: the published layout as numpy records over the whole file --------------------
+
+_HEADER = np.dtype([
+    ("magic", "V8"), ("clsid", "V16"), ("minor", "<u2"), ("major", "<u2"), ("order", "<u2"), ("shift", "<u2"),
+    ("mini_shift", "<u2"), ("reserved", "V6"), ("n_directory", "<u4"), ("n_fat", "<u4"), ("directory", "<u4"),
+    ("transaction", "<u4"), ("cutoff", "<u4"), ("mini_fat", "<u4"), ("n_mini_fat", "<u4"), ("difat", "<u4"),
+    ("n_difat", "<u4"), ("fat", "<u4", 109)])
+_ENTRY = np.dtype([("name", "<u2", 32), ("name_bytes", "<u2"), ("kind", "u1"), ("rest", "V61")])
+_LAST_SECTOR = 0xFFFFFFFA  # sector numbers above it are marks
 _KINDS = {1: "storage", 2: "stream"}
-_MAX_ENTRIES = 1024
-
-
-def _ole_names(data: bytes) -> list[tuple[str, str]]:
-    """(kind, name) of the directory entries of a compound file, breadth first from the root."""
-    if len(data) < 512 or not data.startswith(_OLE_MAGIC):
-        raise _Unreadable("no compound file header")
-    shift = int.from_bytes(data[30:32], "little")
-    if shift not in (9, 12):
-        raise _Unreadable(f"sector shift {shift}")
-    words = np.frombuffer(data[:512], "<u4")
-    fat_sectors, first_directory = int(words[11]), int(words[12])
-    if first_directory in (_FREE, _END):
-        raise _Unreadable("no directory")
-    listed = words[19:128]
-    free = np.flatnonzero(listed == _FREE)
-    listed = listed[: free[0]] if free.size else listed
-    if len(listed) < fat_sectors:
-        raise _Unreadable("allocation table continues outside the header")
-    size = 1 << shift
-
-    def sector(number: int) -> bytes:
-        start = 512 + number * size
-        if start + size > len(data):
-            raise _Unreadable(f"sector {number} outside the file")
-        return data[start:start + size]
-
-    fat = np.frombuffer(b"".join(sector(int(n)) for n in listed[:fat_sectors]), "<u4")
-    chain, at = [], first_directory
-    while at != _END:
-        if at in (_FREE, _FAT) or at >= len(fat) or len(chain) > len(fat):
+
+
+def _chain(follow: np.ndarray, first: int) -> np.ndarray:
+    """Sectors of a chain; a chain that leaves the table or meets itself is broken."""
+    out, at = [], first
+    while at < _LAST_SECTOR:
+        if at >= len(follow) or len(out) > len(follow):
             raise _Unreadable(f"broken sector chain at {at}")
-        chain.append(sector(at))
-        at = int(fat[at])
-    directory = b"".join(chain)
-    entries = np.frombuffer(directory[: len(directory) // 128 * 128], _DIRECTORY)
-    if not len(entries):
-        raise _Unreadable("directory too short")
-    names: list[tuple[str, str]] = []
-    waiting, seen = [int(entries[0]["child"])], set()
-    for number in waiting:  # grows while it is read: breadth first
-        if number in seen or number < 0:
-            continue
-        if number >= len(entries):
-            raise _Unreadable(f"directory entry {number} outside the directory")
-        seen.add(number)
-        entry = entries[number]
-        length = int(entry["name_bytes"])
-        if not 2 <= length <= 64:
-            raise _Unreadable(f"directory entry {number} has a name of {length} bytes")
-        try:
-            name = entry["name"].tobytes()[: length - 2].decode("utf-16-le")
-        except UnicodeDecodeError as exc:
-            raise _Unreadable(f"directory entry {number} has no readable name") from exc
-        if int(entry["kind"]) in _KINDS:
-            names.append((_KINDS[int(entry["kind"])], name))
-        waiting += [int(entry[link]) for link in ("left", "right", "child")]
-        if len(seen) > _MAX_ENTRIES:
-            raise _Unreadable("directory too large")
-    return names
+        out.append(at)
+        at = int(follow[at])
+    return np.array(out, dtype=np.int64)
+
+
+def _compound_names(data: bytes) -> list[tuple[str, str]]:
+    """(kind, name) of all storages and streams in the order of the directory, the root left out."""
+    try:
+        head = np.frombuffer(data, _HEADER, count=1)[0]
+        size = 1 << int(head["shift"])
+        n = (len(data) - 512) // size
+        body = np.frombuffer(data, np.uint8, count=n * size, offset=512).reshape(n, size)
+        fat = head["fat"][head["fat"] < _LAST_SECTOR]
+        at = int(head["difat"])
+        for _ in range(int(head["n_difat"])):  # further sectors that list the allocation table
+            more = body[at].view("<u4")
+            fat, at = np.append(fat, more[:-1][more[:-1] < _LAST_SECTOR]), int(more[-1])
+        follow = np.ascontiguousarray(body[fat.astype(np.int64)]).view("<u4").ravel()
+        sectors = body[_chain(follow, int(head["directory"]))]
+        entries = np.ascontiguousarray(sectors).ravel().view(_ENTRY)
+    except (ValueError, IndexError) as exc:
+        raise _Unreadable(f"no readable compound file: {exc}") from exc
+    return [(_KINDS[int(e["kind"])], _valid(e["name"].tobytes()[: max(0, int(e["name_bytes"]) - 2)].decode("utf-16-le", "replace")))
+            for e in entries[1:] if int(e["kind"]) in _KINDS]
+
+
+def _list_compound(out: _Listing, data: bytes) -> None:
+    names = _compound_names(data)
+    out.add("0", "ole", len(names), [(kind, name, None, False, False) for kind, name in names])
 
 
 def _valid(text: str) -> str:
     return text.encode("utf-8", "replace").decode("utf-8")
 
 
-def _inventory(data: bytes, label: str, part_index: str, limits: Limits) -> dict[str, Any]:
-    found = _Inventory(limits, part_index)
+def _inventory(data: bytes, kind: str, part_index: str, limits: Limits) -> dict[str, Any]:
+    out = _Listing(limits, part_index)
     try:
-        found.ole(data) if label == "ole" else found.zip(data)
+        (_list_compound if kind == "ole" else _list_zip)(out, data)
     except _Unreadable as exc:
-        found.warn("ole-unreadable" if label == "ole" else "archive-unreadable", str(exc))
-    return found.rows()
+        out.warn("ole-unreadable" if kind == "ole" else "archive-unreadable", str(exc))
+    return {"containers": out.containers, "entries": out.entries, "warnings": out.warnings}
 
 
 def routed(df: DataFrame) -> DataFrame:

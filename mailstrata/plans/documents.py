@@ -51,10 +51,19 @@ def overview(parsed: DataFrame, limits: Limits = Limits()) -> DataFrame:
     )
 
 
+#: Dotted paths, which are ordered by their numbers: 0.2 before 0.10.
+DOTTED = ("part_index", "container_path")
+
+
+def _dotted(path: str) -> Column:
+    return F.transform(F.split(path, r"\."), lambda number: number.cast("long")).alias(path)
+
+
 def _collected(df: DataFrame, name: str, order: tuple[str, ...]) -> DataFrame:
     """``(source_path, name)``: rows of a child table as one array per message, in ``order``."""
     fields = sorted(c for c in df.columns if c not in ("source_path", "evidence_id"))
-    keyed = F.struct(F.struct(*order).alias("key"), F.struct(*fields).alias("row"))
+    keyed = F.struct(F.struct(*[_dotted(c) if c in DOTTED else F.col(c) for c in order]).alias("key"),
+                     F.struct(*fields).alias("row"))
 
     def by_key(a: Column, b: Column) -> Column:  # rows hold maps, which have no order
         return F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)

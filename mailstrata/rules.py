@@ -70,35 +70,35 @@ CONFUSABLE_NETLOC_CHARS = (
 )
 
 # --- attachments --------------------------------------------------------------------------
-# Leading bytes, first match wins: (magic, category, label, what the bytes are).
+# Leading bytes, first match wins: (magic, category, label, what the bytes are). Fixed values, the texts included.
 MAGIC_TABLE = (
-    (b"MZ", "executable", "windows-pe", "PE image, MZ header"),
-    (b"\x7fELF", "executable", "elf", "ELF image"),
+    (b"MZ", "executable", "windows-pe", "MZ header (PE executable)"),
+    (b"\x7fELF", "executable", "elf", "ELF magic (Unix executable)"),
     (b"%PDF-", "document", "pdf", "PDF header"),
-    (b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", "document", "ole", "OLE compound file"),
+    (b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", "document", "ole", "OLE compound-file signature (legacy Office)"),
     (b"PK\x03\x04", "archive", "zip", "ZIP local file header"),
-    (b"PK\x05\x06", "archive", "zip-empty", "ZIP end of central directory"),
-    (b"PK\x07\x08", "archive", "zip-spanned", "ZIP data descriptor"),
-    (b"\x1f\x8b", "archive", "gzip", "gzip stream"),
-    (b"Rar!\x1a\x07\x00", "archive", "rar", "RAR archive"),
-    (b"7z\xbc\xaf\x27\x1c", "archive", "sevenzip", "7z archive"),
-    (b"\x89PNG\r\n\x1a\n", "image", "png", "PNG image"),
-    (b"\xff\xd8\xff", "image", "jpeg", "JPEG image"),
-    (b"GIF87a", "image", "gif", "GIF image, 87a"),
-    (b"GIF89a", "image", "gif", "GIF image, 89a"),
-    (b"BM", "image", "bmp", "BMP image"),
-    (b"II*\x00", "image", "tiff", "TIFF image, little endian"),
-    (b"MM\x00*", "image", "tiff", "TIFF image, big endian"),
-    (b"{\\rtf", "document", "rtf", "RTF document"),
+    (b"PK\x05\x06", "archive", "zip-empty", "ZIP end-of-central-directory only"),
+    (b"PK\x07\x08", "archive", "zip-spanned", "ZIP data descriptor signature"),
+    (b"\x1f\x8b", "archive", "gzip", "gzip magic"),
+    (b"Rar!\x1a\x07\x00", "archive", "rar", "RAR signature"),
+    (b"7z\xbc\xaf\x27\x1c", "archive", "sevenzip", "7z signature"),
+    (b"\x89PNG\r\n\x1a\n", "image", "png", "PNG signature"),
+    (b"\xff\xd8\xff", "image", "jpeg", "JPEG SOI marker"),
+    (b"GIF87a", "image", "gif", "GIF87a header"),
+    (b"GIF89a", "image", "gif", "GIF89a header"),
+    (b"BM", "image", "bmp", "BMP magic"),
+    (b"II*\x00", "image", "tiff", "TIFF little-endian magic"),
+    (b"MM\x00*", "image", "tiff", "TIFF big-endian magic"),
+    (b"{\\rtf", "document", "rtf", "RTF header"),
     (b"<?xml", "text", "xml", "XML declaration"),
-    (b"#!/", "executable", "script", "shebang line"),
+    (b"#!/", "executable", "script", "shebang line (executable script)"),
 )
 # Outcomes that do not come from a magic: label -> (category, detail).
 OTHER_CONTENT = {
-    "empty": ("empty", "no bytes"),
-    "html": ("text", "HTML tag at the start"),
-    "text": ("text", "printable text"),
-    "unknown": ("unknown", "no known leading bytes, not printable text"),
+    "empty": ("empty", "zero-length content"),
+    "html": ("text", "HTML tag at start of content"),
+    "text": ("text", "printable text, no binary magic"),
+    "unknown": ("unknown", "no known magic bytes; not printable text"),
 }
 PRINTABLE_SHARE = 0.9
 

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import io
+import json
 import struct
+import time
 import zipfile
 from email.message import EmailMessage
 
 import pytest
 from conftest import grouped
+from pyspark.sql import functions as F
 
+from mailstrata.functions.text import clean_url_text
 from mailstrata.limits import Limits
+from mailstrata.operators.headers import header_fields
 from mailstrata.plans import documents
 from mailstrata.plans.analysis import analyze
 
@@ -357,6 +362,40 @@ def test_attachment_types(table):
         "docx": {"declared-mime-mismatch", "oversized-attachment"}}
 
 
+def test_attachment_bases(table):
+    tables, _ = attachment_codes(table, Limits(oversized_bytes=50),
+                                 fake=("it's.pdf", b"MZ\x90", "application/pdf"),
+                                 big=("a.bin", b"x" * 50, "application/octet-stream"))
+    got = {r.code: r.basis["text"] for r in tables["observations"].where("code <> 'attachment-count'").collect()}
+    magic = " magic=MZ header (PE executable)"
+    assert got == {
+        "extension-type-mismatch": 'filename="it\'s.pdf"' + magic,
+        "executable-content": 'filename="it\'s.pdf"' + magic,
+        "declared-mime-mismatch": "mime_claim='application/pdf'" + magic,
+        "oversized-attachment": "filename='a.bin' size=50"}
+
+
+def test_documents_keep_the_order_of_attachments(table):
+    outer = EmailMessage()
+    outer["From"], outer["Date"] = "a@example.org", "Mon, 01 Jan 2024 00:00:00 +0000"
+    outer.set_content("body")
+    for k in range(12):
+        outer.add_attachment(b"%PDF-1.7", maintype="application", subtype="pdf", filename=f"f{k}.pdf")
+    tables = analyze(table({"m": outer.as_bytes()}), areas=("attachments",))
+    document = json.loads(documents.message_documents(tables).first().document)
+    assert [a["filename"] for a in document["attachments"]] == [f"f{k}.pdf" for k in range(12)]
+
+
+@pytest.mark.parametrize("odd", [".", ")", " ", ";", "("])
+def test_long_runs_inside_a_value_stay_linear(spark, odd):
+    run = odd * 300_000
+    frame = spark.createDataFrame([(f"https://a.example{run}x", f"X: a\r\n b{run}c\r\n")], "url string, head string")
+    started = time.time()
+    row = frame.select(clean_url_text(F.col("url")).alias("url"), header_fields(F.col("head")).alias("fields")).first()
+    assert len(row.url) > 300_000 and len(row.fields[0]["value"]) > 300_000
+    assert time.time() - started < 20
+
+
 def test_containers(table):
     inner = zipped(("deep.exe", b"MZ"))
     nested = zipped(("readme.txt", b"hi"), ("inner.zip", inner))
