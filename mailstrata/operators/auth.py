@@ -64,8 +64,8 @@ def _pair(text: Column) -> Column:
 # --- Authentication-Results ---------------------------------------------------------------
 
 
-def _clause(clause: Column, authserv_id: Column, raw: Column) -> Column:
-    """STRUCT<problem, clause, method, result, reason, properties, authserv_id, raw>.
+def _clause(clause: Column, authserv_id: Column) -> Column:
+    """STRUCT<problem, clause, method, result, reason, properties, authserv_id>.
 
     ``problem`` is NULL for a result; a blank clause is neither a result nor a warning.
     """
@@ -90,7 +90,7 @@ def _clause(clause: Column, authserv_id: Column, raw: Column) -> Column:
             problem.alias("problem"), clause.alias("clause"), method.alias("method"),
             result.alias("result"), b["reason"].alias("reason"),
             last_wins(F.filter(pairs, lambda p: p["k"] != "")).alias("properties"),
-            authserv_id.alias("authserv_id"), raw.alias("raw"))
+            authserv_id.alias("authserv_id"))
 
     comment = let(strip(after_index(clause, F.length(name) + 2)), balanced_comment)
     return let(let(comment, words_of), read)
@@ -106,7 +106,7 @@ def authentication_results(value: Column) -> Column:
         return let(server, lambda authserv: F.struct(
             alone.alias("no_clauses"),
             F.transform(F.slice(segments, F.lit(2), F.size(segments)),
-                        lambda c: let(strip(c), lambda x: _clause(x, authserv, value)))
+                        lambda c: let(strip(c), lambda x: _clause(x, authserv)))
             .alias("clauses"),
             value.alias("raw")))
 
@@ -114,9 +114,13 @@ def authentication_results(value: Column) -> Column:
 
 
 def _results(parsed: Column) -> Column:
-    """Accepted clauses of all headers, flat, in order."""
-    return F.flatten(F.transform(parsed, lambda h: F.filter(
-        h["clauses"], lambda c: c["problem"].isNull())))
+    """Accepted clauses of all headers, flat, in order; ``header`` is the place of a clause's header.
+
+    The header's text stays in the header: with many clauses in one header, a copy in each of them
+    would grow with the square of its length.
+    """
+    return F.flatten(F.transform(parsed, lambda h, i: F.transform(
+        F.filter(h["clauses"], lambda c: c["problem"].isNull()), lambda c: c.withField("header", i))))
 
 
 # --- DKIM-Signature -----------------------------------------------------------------------
@@ -199,10 +203,13 @@ def _claim_rows(df: DataFrame, column: str, name: str) -> DataFrame:
 
 
 def auth_result_rows(df: DataFrame) -> DataFrame:
-    fields = ("method", "result", "reason", "properties", "authserv_id", "raw")
-    return _claim_rows(df, "auth_results", "r").select(
+    fields = ("method", "result", "reason", "properties", "authserv_id")
+    claims = with_claims(df.select("source_path", "evidence_id", "fields")).withColumn(
+        "texts", F.transform("ar_headers", lambda h: h["raw"]))
+    rows = rows_of(claims, ("source_path", "evidence_id", "texts"), "auth_results", "r", "ordinal")
+    return rows.select(
         "source_path", "evidence_id", "ordinal", *[f"r.{f}" for f in fields],
-        known_auth_result(F.col("r.result")).alias("known_result"))
+        F.get("texts", F.col("r.header")).alias("raw"), known_auth_result(F.col("r.result")).alias("known_result"))
 
 
 def dkim_rows(df: DataFrame) -> DataFrame:

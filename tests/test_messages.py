@@ -396,6 +396,14 @@ def test_long_runs_inside_a_value_stay_linear(spark, odd):
     assert time.time() - started < 20
 
 
+def test_many_clauses_in_one_header(table):
+    clauses = "; ".join(f"dkim=pass header.d=d{k}.example" for k in range(3000))
+    raw = crlf(*BASE, "Authentication-Results: mx.example; " + clauses)
+    tables = analyze(table({"m": raw}), areas=("authentication",))
+    assert tables["auth_results"].count() == 3000
+    assert tables["observations"].where("code like 'dkim-%'").count() >= 3000
+
+
 def test_containers(table):
     inner = zipped(("deep.exe", b"MZ"))
     nested = zipped(("readme.txt", b"hi"), ("inner.zip", inner))
