@@ -275,8 +275,15 @@ def conflicting_methods(results: Column) -> Column:
     return let(ranked, read)
 
 
-def auth_observations(df: DataFrame) -> DataFrame:
-    """All observations of the authentication area, one pass, row-local."""
+#: Groups of authentication observations that can be asked for alone.
+AUTH_GROUPS = ("absent", "results", "conflicts", "signatures", "alignment", "received_spf")
+
+
+def auth_observations(df: DataFrame, groups: tuple[str, ...] = AUTH_GROUPS) -> DataFrame:
+    """The observations of the authentication area, one pass, row-local.
+
+    Only the chosen ``groups`` are built; what they do not need is pruned from the plan.
+    """
     df = with_from_domain(with_claims(df.select("source_path", "evidence_id", "fields")))
     df = df.withColumns({
         "spf_domains": claimed_domains("spf"),
@@ -286,24 +293,25 @@ def auth_observations(df: DataFrame) -> DataFrame:
             F.filter("auth_results", lambda r: r["method"] == "spf"), lambda r: r["result"]))),
     })
     nothing = (F.size("auth_results") + F.size("dkim_signatures") + F.size("received_spf")) == 0
-    parts = [
-        present((nothing, observation(0, "no-auth-headers", "no authentication claim to read"))),
-        F.transform("auth_results", _result_observation),
-        F.transform("conflicts", lambda c, i: observation(
+    made = {
+        "absent": [present((nothing, observation(
+            0, "no-auth-headers", "no authentication claim to read")))],
+        "results": [F.transform("auth_results", _result_observation)],
+        "conflicts": [F.transform("conflicts", lambda c, i: observation(
             i + (2 << 32), "conflicting-auth-results",
             F.concat(F.lit("claims disagree on "), c["method"]), c["method"],
-            method=c["method"], results=F.to_json(c["results"]))),
-        F.transform("dkim_signatures", lambda s, i: observation(
+            method=c["method"], results=F.to_json(c["results"])))],
+        "signatures": [F.transform("dkim_signatures", lambda s, i: observation(
             i + (3 << 32), "dkim-signature-present",
             F.concat(F.lit("unverified signature for "), F.coalesce(s["d"], F.lit("no domain"))),
             s["d"], d=s["d"], s=s["s"], a=s["a"], c=s["c"], body_hash_claim=s["bh"],
             signed_headers=F.to_json(s["h"]))),
         present((F.size("dkim_signatures") == 0, observation(
-            3 << 32, "dkim-signature-absent", "the message claims no signer"))),
-        _alignment_observations("spf", 4),
-        _alignment_observations("dkim", 5),
-        F.flatten(F.transform("received_spf", _spf_observations)),
-    ]
+            3 << 32, "dkim-signature-absent", "the message claims no signer")))],
+        "alignment": [_alignment_observations("spf", 4), _alignment_observations("dkim", 5)],
+        "received_spf": [F.flatten(F.transform("received_spf", _spf_observations))],
+    }
+    parts = [part for group in groups for part in made[group]]
     return observation_rows(df.withColumn("observed", F.concat(*parts)),
                             "authentication", "observed")
 

@@ -318,44 +318,44 @@ def from_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_from_domain(_claims(spark, sf_dir)).select("source_path", "from_domain")
 
 
-def _auth_codes(spark: SparkSession, sf_dir: str, predicate: Column) -> DataFrame:
-    return auth.auth_observations(_claims(spark, sf_dir)).where(predicate)
+def _auth_codes(spark: SparkSession, sf_dir: str, group: str, predicate: Column) -> DataFrame:
+    return auth.auth_observations(_claims(spark, sf_dir), (group,)).where(predicate)
 
 
 @query
 def auth_method_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _auth_codes(spark, sf_dir, F.element_at("basis", "method").isNotNull()
+    return _auth_codes(spark, sf_dir, "results", F.element_at("basis", "method").isNotNull()
                        & (F.col("code") != "conflicting-auth-results")).select(
         "source_path", "code", _basis("authserv_id"), _basis("domain"))
 
 
 @query
 def auth_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _auth_codes(spark, sf_dir, F.col("code") == "conflicting-auth-results").select(
+    return _auth_codes(spark, sf_dir, "conflicts", F.col("code") == "conflicting-auth-results").select(
         "source_path", _basis("method"), _basis("results"))
 
 
 @query
 def dkim_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _auth_codes(spark, sf_dir, F.col("code").startswith("dkim-signature-")).select(
+    return _auth_codes(spark, sf_dir, "signatures", F.col("code").startswith("dkim-signature-")).select(
         "source_path", "code", _basis("d"))
 
 
 @query
 def auth_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _auth_codes(spark, sf_dir, F.col("code").contains("-alignment-")).select(
+    return _auth_codes(spark, sf_dir, "alignment", F.col("code").contains("-alignment-")).select(
         "source_path", "code", F.col("subject").alias("domain"), _basis("from_domain"))
 
 
 @query
 def spf_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _auth_codes(spark, sf_dir, F.col("code") == "spf-claim-disagreement").select(
+    return _auth_codes(spark, sf_dir, "received_spf", F.col("code") == "spf-claim-disagreement").select(
         "source_path", _basis("received_spf"), _basis("auth_results_spf"))
 
 
 @query
 def auth_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _auth_codes(spark, sf_dir, F.col("code") == "no-auth-headers").select("source_path")
+    return _auth_codes(spark, sf_dir, "absent", F.col("code") == "no-auth-headers").select("source_path")
 
 
 # --- message structure ----------------------------------------------------------------------
