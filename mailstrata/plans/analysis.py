@@ -13,7 +13,7 @@ from mailstrata.operators import attachments as att
 from mailstrata.operators import auth, containers, headers, mime, received, urls
 from mailstrata.operators.addresses import with_return_path
 from mailstrata.operators.mime import all_of, first_of
-from mailstrata.session import ARROW_ROWS, stage
+from mailstrata.session import stage
 
 AREAS = ("headers", "authentication", "urls", "attachments")
 
@@ -30,8 +30,6 @@ def analyze(messages: DataFrame, areas: Iterable[str] = AREAS, limits: Limits =
     unknown = set(wanted) - set(AREAS)
     if unknown:
         raise ValueError(f"unknown areas {sorted(unknown)}; known are {AREAS}")
-    messages.sparkSession.conf.set(
-        "spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     parsed = mime.flatten_messages(messages, limits, with_text="urls" in wanted,
                                    with_payload="attachments" in wanted)
     if staged:
