@@ -134,8 +134,10 @@ def test_bounds_and_status(table):
         "ok": "ok", "wide": "ok", "warned": "warnings", "empty": "warnings", "wider": "rejected",
         "deep": "rejected", "long": "rejected", "big": "rejected"}
     assert grouped(tables["warnings"], "code")["warned"] == ["missing-header"] * 2
-    deep_only = analyze(table({"deep": deep}), areas=(), staged=False)["rejects"].first()
-    assert (deep_only.reason, deep_only.observed) == ("mime-too-deep", 17)
+    deep_only = analyze(table({"deep": deep}), areas=(), limits=Limits(mime_depth=16), staged=False)
+    first = deep_only["rejects"].first()
+    assert (first.reason, first.observed) == ("mime-too-deep", 17)
+    assert analyze(table({"deep": deep}), areas=(), staged=False)["rejects"].count() == 0
 
 
 def test_malformed_parts_are_warnings(table):
