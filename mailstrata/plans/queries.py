@@ -39,6 +39,9 @@ from mailstrata.plans import analysis, documents
 from mailstrata.sources import corpora
 from mailstrata.sources.mail import accepted, fingerprint
 
+# Bounds of the two queries about rejected messages; a job has none unless it sets them.
+_BOUNDS = Limits(message_bytes=25 * MIB, header_bytes=MIB, mime_parts=200, mime_depth=16)
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -396,8 +399,7 @@ def missing_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def message_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bounds = Limits(message_bytes=25 * MIB, header_bytes=MIB, mime_parts=200, mime_depth=16)
-    parsed = mime.flatten_messages(corpora.bounds_messages(spark, sf_dir), bounds, with_text=False,
+    parsed = mime.flatten_messages(corpora.bounds_messages(spark, sf_dir), _BOUNDS, with_text=False,
                                    with_payload=False)
     return mime.reject_rows(parsed).select(
         "source_path", "reason", "limit")
@@ -555,7 +557,7 @@ def attachment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def message_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = corpora.chain_messages(spark, sf_dir).unionByName(
         corpora.bounds_messages(spark, sf_dir))
-    return analysis.analyze(both, areas=("headers",))["status"].select("source_path", "status")
+    return analysis.analyze(both, ("headers",), _BOUNDS)["status"].select("source_path", "status")
 
 
 @query
