@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailstrata.llm.common import append_columns, documents, map_texts, named
+from mailstrata.llm.common import append_columns, documents, map_texts, named, span_hashes
 
 #: The split pattern of the byte-level vocabularies (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -92,6 +92,46 @@ def split(text: str) -> list[str]:
     return _ANY.findall(text)
 
 
+#: Bytes of texts that can be cut by byte classes: ASCII without the apostrophe (contractions), and
+#: the UTF-8 bytes of U+00C0 to U+027F, which are letters but for U+00D7 and U+00F7.
+_PLAIN = bytes(b for b in range(128) if b != 0x27) + bytes(range(0x80, 0xC0)) + bytes(range(0xC3, 0xCA))
+_CLASS = np.full(256, 3, dtype=np.uint8)
+_CLASS[[*range(65, 91), *range(97, 123), *range(128, 255)]] = 0
+_CLASS[48:58] = 1
+_CLASS[[9, 10, 11, 12, 13, 32]] = 2
+_CLASS[255] = 4
+
+
+def is_plain(text: bytes) -> bool:
+    if text.isascii():
+        return b"'" not in text
+    if text.translate(None, _PLAIN) or b"\xc3\x97" in text or b"\xc3\xb7" in text:
+        return False
+    try:
+        text.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def plain_spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, start, end) of the pieces of plain texts, each text closed by the byte 255, a piece of its own.
+
+    A piece is a run of one class; the last blank before a run joins it, any other last white-space
+    character before one is a piece of its own.
+    """
+    raw = np.frombuffer(data, dtype=np.uint8)
+    kind = _CLASS[raw]
+    begins = np.ones(len(raw), dtype=bool)
+    np.not_equal(kind[1:], kind[:-1], out=begins[1:])
+    begins |= kind == 4
+    before = np.flatnonzero((kind[:-1] == 2) & (kind[1:] != 2) & (kind[1:] != 4))
+    begins[before] = True
+    begins[before[raw[before] == 32] + 1] = False
+    start = np.flatnonzero(begins)
+    return raw, start, np.append(start[1:], len(raw))
+
+
 class Pieces:
     """Encodes texts piece by piece; ``encode_pieces`` gives the ids of new ones.
 
@@ -144,6 +184,46 @@ class Pieces:
     def encode(self, text: str) -> list[int]:
         return self.encode_batch([text])[0]
 
+    def encode_arrays(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each UTF-8 text; plain texts are cut and put together in vector steps."""
+        out: list[np.ndarray] = [np.zeros(0, dtype=np.uint32)] * len(texts)
+        marks = [mark.encode() for mark in self.special]
+        easy = [k for k, t in enumerate(texts) if is_plain(t) and not any(m in t for m in marks)]
+        hard = sorted(set(range(len(texts))) - set(easy))
+        for k, ids in zip(hard, self.encode_batch([texts[k].decode("utf-8", errors="replace") for k in hard])):
+            out[k] = np.array(ids, dtype=np.uint32)
+        if not easy:
+            return out
+        data = b"\xff".join([*(texts[k] for k in easy), b""])
+        raw, start, end = plain_spans(data)
+        # Equal hash and length mean equal pieces (64 bits; see ``span_hashes``).
+        keys = span_hashes(raw, start, end) + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        _, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        pieces = ["" if data[a] == 0xFF else data[a:b].decode() for a, b in zip(start[first].tolist(), end[first].tolist())]
+        known, aged = self.known, self.aged
+        found = [known.get(p) for p in pieces]
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        fresh = []
+        for k in missing:
+            ids = aged.get(pieces[k]) if pieces[k] else []
+            if ids is None:
+                fresh.append(k)
+            else:
+                known[pieces[k]] = found[k] = ids
+        for k, ids in zip(fresh, self.encode_pieces([pieces[k] for k in fresh])):
+            known[pieces[k]] = found[k] = ids
+        if len(known) > REMEMBERED:
+            self.known, self.aged = {}, known
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        flat = np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(sizes.sum()))
+        counts = sizes[back]
+        stops = np.cumsum(counts)
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[back] - (stops - counts), counts) + np.arange(int(stops[-1]))]
+        closing = stops[np.flatnonzero(raw[start] == 0xFF)]
+        for k, a, b in zip(easy, [0, *closing[:-1].tolist()], closing.tolist()):
+            out[k] = ids[a:b]
+        return out
+
 
 class Codec(Pieces):
     """Encoder and decoder of one byte-level vocabulary file."""
@@ -273,11 +353,11 @@ def codec(vocabulary: str) -> Codec:
     return Codec(resolve(vocabulary))
 
 
-def text_groups(texts: list[bytes | None]) -> Iterator[list[str]]:
+def text_groups(texts: list[bytes | None]) -> Iterator[list[bytes]]:
     """The texts, a few megabytes at a time."""
     group, size = [], 0
     for data in texts:
-        group.append(_text(data))
+        group.append(data or b"")
         size += len(data or b"")
         if size > GROUP_BYTES:
             yield group
@@ -286,17 +366,13 @@ def text_groups(texts: list[bytes | None]) -> Iterator[list[str]]:
         yield group
 
 
-def _text(data: bytes | None) -> str:
-    return "" if data is None else data.decode("utf-8", errors="replace")
-
-
 def encode(df: DataFrame, vocabulary: str = DEFAULT, id_column: str = "doc_id",
            text_column: str = "text") -> DataFrame:
     """(doc_id, ids array<int>) of every whole text."""
     def make() -> Callable:
         of = codec(vocabulary)
         return lambda texts, part: [part.column("doc_id"),
-                                    [ids for group in text_groups(texts) for ids in of.encode_batch(group)]]
+                                    [ids for group in text_groups(texts) for ids in of.encode_arrays(group)]]
 
     return map_texts(documents(df, id_column, text_column), "text", make, "doc_id long, ids array<int>")
 
@@ -322,7 +398,7 @@ def _digests(vocabulary: str) -> Callable[[], Callable[[list], list]]:
         def work(texts: list) -> list:
             counts, ids_sha, text_sha = [], [], []
             for group in text_groups(texts):
-                for ids in of.encode_batch(group):
+                for ids in map(np.ndarray.tolist, of.encode_arrays(group)):
                     counts.append(len(ids))
                     ids_sha.append(hashlib.sha256(",".join([shown[i] for i in ids]).encode()).hexdigest())
                     text_sha.append(hashlib.sha256(of.decode(ids).encode()).hexdigest())

@@ -8,6 +8,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -44,7 +45,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.
     """(part of a batch, its values of ``column``), cut so that no part holds much over SLICE_BYTES."""
     for batch in batches:
         values = batch.column(column)
-        sizes = np.array([len(v) if v is not None else 0 for v in values.to_pylist()], dtype=np.int64)
+        sizes = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         block = np.cumsum(sizes) // SLICE_BYTES
         cuts = [0, *(np.nonzero(np.diff(block))[0] + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
@@ -152,8 +153,11 @@ def word_hashes(data: bytes, lower: bool = True) -> tuple[np.ndarray, np.ndarray
         return np.zeros(0, dtype=np.uint64), none, none
     edge = np.diff(np.concatenate(([1], _SPACE[raw].view(np.int8), [1])).astype(np.int8))
     start, end = np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0]
-    if lower:
-        raw = _LOWER[raw]
+    return span_hashes(_LOWER[raw] if lower else raw, start, end), start, end
+
+
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each span of bytes; spans ascend and do not overlap."""
     out = np.empty(len(start), dtype=np.uint64)
     # Blocks bound the width of the power table; a word longer than a block still gets its own sum.
     at = 0
@@ -170,7 +174,7 @@ def word_hashes(data: bytes, lower: bool = True) -> tuple[np.ndarray, np.ndarray
     out ^= out >> np.uint64(29)
     out *= np.uint64(0xBF58476D1CE4E5B9)
     out ^= out >> np.uint64(32)
-    return out, start, end
+    return out
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:

@@ -53,16 +53,18 @@ _HEAD = struct.Struct("<4sIQQQQQ")
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words, escapes) of one block of ids."""
-    values = ids.astype(np.uint64)
-    large = values >= ESCAPE
-    escapes = values[large]
-    values[large] = ESCAPE
+    large = ids >= ESCAPE
+    escapes = ids[large].astype(np.uint64)
+    values = np.where(large, ESCAPE, ids).astype(np.int32)
     n = len(values)
     chosen = np.full(n, len(SELECTORS) - 1, dtype=np.int8)
     free = np.ones(n, dtype=bool)
-    at = np.arange(n)
+    at = np.arange(n, dtype=np.int32)
+    least = int(values.min()) if n else 0
     for selector, (count, bits) in enumerate(SELECTORS[:-1]):
-        wide = np.where(values >= np.uint64(1 << bits), at, n + 240)
+        if least >= 1 << bits:
+            continue
+        wide = np.where(values >= np.int32(min(1 << bits, (1 << 31) - 1)), at, np.int32(n + 240))
         stop = np.minimum.accumulate(wide[::-1])[::-1]  # the next id that is too wide
         fits = free & (stop - at >= count)
         chosen[fits] = selector
@@ -75,7 +77,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts = np.array(starts, dtype=np.int64)
     picked = chosen[starts].astype(np.uint64)
     words = picked << np.uint64(60)
-    padded = np.concatenate((values, np.zeros(240, dtype=np.uint64)))
+    padded = np.concatenate((values.astype(np.uint64), np.zeros(240, dtype=np.uint64)))
     for selector, (count, bits) in enumerate(SELECTORS):
         mine = np.nonzero(picked == selector)[0]
         if bits and len(mine):
@@ -153,8 +155,25 @@ class Library(Pieces):
         added = self.tokenizer.get_added_tokens_decoder()
         super().__init__({token.content: i for i, token in added.items()})
 
+        self.opens = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
+        self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
+
     def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        """One call for all pieces that open with a blank: side by side they are cut as they were, and
+        only their first tokens hold one. The others go as a batch."""
+        out: list[list[int]] = [[]] * len(pieces)
+        opening = [k for k, p in enumerate(pieces) if len(p) > 1 and p[0] == " " and not p[1].isspace()]
+        ids = self.tokenizer.encode_batch_fast(
+            ["".join([pieces[k] for k in opening])], add_special_tokens=False)[0].ids if opening else []
+        starts = np.flatnonzero(self.opens[ids]).tolist() if ids else []
+        if len(starts) != len(opening):
+            opening = []
+        for k, a, b in zip(opening, starts, [*starts[1:], len(ids)]):
+            out[k] = ids[a:b]
+        rest = sorted(set(range(len(pieces))) - set(opening))
+        for k, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[k] for k in rest], add_special_tokens=False)):
+            out[k] = e.ids
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -176,6 +195,7 @@ def write_files(df: DataFrame, vocabulary: str = DEFAULT, end: int = END, id_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, place, number = library(vocabulary), TaskContext.get().partitionId(), 0
+        closing = np.array([end], dtype=np.uint32)
         doc_ids, counts, streams, size = [], [], [], 0
 
         def file() -> pa.RecordBatch:
@@ -187,12 +207,11 @@ def write_files(df: DataFrame, vocabulary: str = DEFAULT, end: int = END, id_col
         for part, texts in slices(batches, "text"):
             rows = iter(part.column("doc_id").to_pylist())
             for group in text_groups(texts):
-                for ids in of.encode_batch(group):
+                for ids in of.encode_arrays(group):
                     doc_ids.append(next(rows))
                     counts.append(len(ids) + 1)
-                    ids.append(end)
-                    streams.append(np.array(ids, dtype=np.uint32))
-                    size += len(ids)
+                    streams += ids, closing
+                    size += len(ids) + 1
                     if size >= FILE_IDS:
                         yield file()
                         number += 1
