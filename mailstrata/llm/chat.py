@@ -20,11 +20,14 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from mailstrata.llm.common import named
 from mailstrata.session import ship_package
@@ -102,39 +105,46 @@ def train(rows: DataFrame) -> dict[str, list]:
             "start": np.log(start / start.sum()).tolist(), "stay": np.log(stay).tolist()}
 
 
-def observed(frame: pd.DataFrame) -> tuple[list[tuple[int, int]], list[int], list[int], list[bool]]:
+def observed(rows: list[dict]) -> tuple[list[tuple[int, int]], list[int], list[int], list[bool]]:
     """Per line of the sorted turns: (turn row, line), marker code, feature, and whether it opens a turn."""
     places, markers, features, opens = [], [], [], []
-    for row, (marker, codes, text) in enumerate(zip(frame["marker"], frame["features"], frame["text"])):
-        for line, (code, body) in enumerate(zip(codes, text.split("\n"))):
+    for row, turn in enumerate(rows):
+        for line, (code, body) in enumerate(zip(turn["features"], turn["text"].split("\n"))):
             found = _MARKER.match(body)
             own = _OF.get(found.group(1).lower(), -1) if found else -1
             places.append((row, line))
-            markers.append(own if own >= 0 else (marker if line == 0 else -1))
-            features.append(int(code))
+            markers.append(own if own >= 0 else (turn["marker"] if line == 0 else -1))
+            features.append(code)
             opens.append(line == 0)
     return places, markers, features, opens
 
 
-def scores(model: dict, markers: list[int], features: list[int], opens: list[bool]) -> list[np.ndarray]:
-    """One matrix per line: score of being in role j at the line after role i before it."""
+def steps_of(model: dict) -> np.ndarray:
+    """Matrix of every kind of line, by whether it opens a turn, its marker (last: none) and its feature:
+    score of being in role j at the line after role i before it."""
     n = len(ROLES)
     emit, move, stay = np.array(model["emit"]), np.array(model["move"]), np.array(model["stay"])
-    trusted = np.full((n + 1, n), 0.0)
+    trusted = np.zeros((n + 1, n))
     trusted[:n] = math.log((1 - TRUST) / (n - 1))
     trusted[np.arange(n), np.arange(n)] = math.log(TRUST)
-    return [(move if o else stay) + emit[:, f] + trusted[m] for m, f, o in zip(markers, features, opens)]
+    return np.stack([stay, move])[:, None, None] + trusted[None, :, None, None, :] + emit.T[None, None, :, None, :]
 
 
-def product(matrices: list[np.ndarray]) -> np.ndarray:
-    """The (max, +) product."""
-    out = matrices[0]
-    for m in matrices[1:]:
-        out = (out[:, :, None] + m[None, :, :]).max(axis=1)
-    return out
+def scores(steps: np.ndarray, markers: list[int], features: list[int], opens: list[bool]) -> np.ndarray:
+    """One matrix per line."""
+    return steps[np.array(opens, dtype=np.int64), np.array(markers), np.array(features)]
 
 
-def decode(matrices: list[np.ndarray], entry: np.ndarray, last: int) -> list[int]:
+def product(matrices: np.ndarray) -> np.ndarray:
+    """The (max, +) product; halves are multiplied pairwise, as the product is associative."""
+    while len(matrices) > 1:
+        odd = matrices[len(matrices) // 2 * 2:]
+        pairs = (matrices[:-1:2][: len(matrices) // 2, :, :, None] + matrices[1::2][:, None, :, :]).max(axis=2)
+        matrices = np.concatenate((pairs, odd))
+    return matrices[0]
+
+
+def decode(matrices: np.ndarray, entry: np.ndarray, last: int) -> list[int]:
     """Best roles of a block's lines, given the scores before it and the role at its last line."""
     best, back = entry, []
     for m in matrices:
@@ -147,8 +157,42 @@ def decode(matrices: list[np.ndarray], entry: np.ndarray, last: int) -> list[int
     return roles[::-1]
 
 
-def _sorted(frame: pd.DataFrame) -> pd.DataFrame:
-    return frame.sort_values(["turn", "text", "marker"], na_position="first", kind="stable")
+def _runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[tuple, list[dict]]]:
+    """Consecutive rows with equal keys; one run at a time is held."""
+    key, rows = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            own = tuple(row[k] for k in keys)
+            if rows and own != key:
+                yield key, rows
+                rows = []
+            key = own
+            rows.append(row)
+    if rows:
+        yield key, rows
+
+
+def _batches(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    kept = []
+    for row in rows:
+        kept.append(row)
+        if len(kept) == 4096:
+            yield pa.RecordBatch.from_pylist(kept, schema=schema)
+            kept = []
+    if kept:
+        yield pa.RecordBatch.from_pylist(kept, schema=schema)
+
+
+def _stage(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], work: Callable, ddl: str) -> DataFrame:
+    """``work`` of every run of rows with equal keys, sorted by ``order``; tasks hold many runs."""
+    kind = StructType.fromDDL(ddl)
+    schema = to_arrow_schema(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = (row for key, rows in _runs(batches, *keys) for row in work(key, rows))
+        return _batches(made, schema)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, kind)
 
 
 def _start(model: dict) -> np.ndarray:
@@ -164,45 +208,46 @@ def segments(df: DataFrame, conversation: str = "conv_id", turn: str = "turn", m
     rows = turns(df, conversation, turn, marker, text)
     model = train(rows)
 
-    def matrix(key, frame):
-        _, markers, features, opens = observed(_sorted(frame))
-        whole = product(scores(model, markers, features, opens))
-        return pd.DataFrame({"conv_id": [key[0]], "block": [key[1]], "matrix": [whole.ravel().tolist()]})
+    steps, start = steps_of(model), _start(model)
+    turn_order = ("turn", "text", "marker")
+
+    def matrix(key: tuple, block: list[dict]) -> Iterator[dict]:
+        _, markers, features, opens = observed(block)
+        whole = product(scores(steps, markers, features, opens))
+        yield {"conv_id": key[0], "block": key[1], "matrix": whole.ravel().tolist()}
 
-    def borders(key, frame):
-        frame = frame.sort_values("block")
-        matrices = [np.array(m).reshape(len(ROLES), -1) for m in frame["matrix"]]
-        entries = [_start(model)]
+    def borders(key: tuple, blocks: list[dict]) -> Iterator[dict]:
+        matrices = [np.array(b["matrix"]).reshape(len(ROLES), -1) for b in blocks]
+        entries = [start]
         for m in matrices:
             entries.append((entries[-1][:, None] + m).max(axis=0))
         ends = [int(entries[-1].argmax())]
         for entry, m in zip(entries[-2:0:-1], matrices[:0:-1]):
             ends.append(int((entry + m[:, ends[-1]]).argmax()))
-        return pd.DataFrame({"border_conv": key[0], "border_block": frame["block"].to_numpy(),
-                             "entry": [e.tolist() for e in entries[:-1]], "last": ends[::-1]})
-
-    def render(key, frame):
-        frame = _sorted(frame)
-        places, markers, features, opens = observed(frame)
-        roles = decode(scores(model, markers, features, opens), np.array(frame["entry"].iloc[0]), int(frame["last"].iloc[0]))
-        turn_of, bodies = frame["turn"].tolist(), [t.split("\n") for t in frame["text"]]
-        out: list[list] = []
+        for b, entry, last in zip(blocks, entries, ends[::-1]):
+            yield {"border_conv": key[0], "border_block": b["block"], "entry": entry.tolist(), "last": last}
+
+    def render(key: tuple, block: list[dict]) -> Iterator[dict]:
+        places, markers, features, opens = observed(block)
+        roles = decode(scores(steps, markers, features, opens), np.array(block[0]["entry"]), block[0]["last"])
+        bodies = [row["text"].split("\n") for row in block]
+        out: list[dict] = []
         for (row, line), role in zip(places, roles):
             body = bodies[row][line]
             found = _MARKER.match(body)
             body = body[found.end():] if found else body
-            if line == 0 or out[-1][3] != role:
-                out.append([row, turn_of[row], 0 if line == 0 else out[-1][2] + 1, role, [body]])
+            if line == 0 or out[-1]["role"] != ROLES[role]:
+                out.append({"conv_id": key[0], "turn": block[row]["turn"], "role": ROLES[role], "lines": [body],
+                            "segment": 0 if line == 0 else out[-1]["segment"] + 1})
             else:
-                out[-1][4].append(body)
-        return pd.DataFrame({"conv_id": pd.array([key[0]] * len(out), dtype="Int64"),
-                             "turn": pd.array([None if pd.isna(x[1]) else int(x[1]) for x in out], dtype="Int64"),
-                             "segment": [x[2] for x in out], "role": [ROLES[x[3]] for x in out],
-                             "rendered": [f"<|{ROLES[x[3]]}|>\n" + "\n".join(x[4]) + "\n<|end|>\n" for x in out]})
-
-    blocks = rows.groupBy("conv_id", "block").applyInPandas(matrix, "conv_id long, block long, matrix array<double>")
-    border = blocks.groupBy("conv_id").applyInPandas(
-        borders, "border_conv long, border_block long, entry array<double>, last int")
+                out[-1]["lines"].append(body)
+        for x in out:
+            yield {**x, "rendered": f"<|{x['role']}|>\n" + "\n".join(x["lines"]) + "\n<|end|>\n"}
+
+    keys = ("conv_id", "block")
+    blocks = _stage(rows, keys, turn_order, matrix, "conv_id long, block long, matrix array<double>")
+    border = _stage(blocks, ("conv_id",), ("block",), borders,
+                    "border_conv long, border_block long, entry array<double>, last int")
     joined = rows.join(border, rows.conv_id.eqNullSafe(border.border_conv) & (rows.block == border.border_block))
-    return joined.groupBy("conv_id", "block").applyInPandas(
-        render, "conv_id long, turn long, segment int, role string, rendered string")
+    return _stage(joined, keys, turn_order, render,
+                  "conv_id long, turn long, segment int, role string, rendered string")

@@ -8,10 +8,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from mailstrata.llm import bpe, chat, decontaminate, licenses, pii, quality
+from mailstrata.llm import bpe, chat, decontaminate, licenses, pii, quality, tokenbin
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -58,6 +59,17 @@ def test_bpe_on_random_strings():
     assert codec.encode(long) == library.encode(long, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("make", [lambda: bpe.codec(bpe.DEFAULT), lambda: tokenbin.library(bpe.DEFAULT)])
+def test_vector_cuts_equal_the_library(make):
+    library, of, rng = Tokenizer.from_file(bpe.resolve(bpe.DEFAULT)), make(), random.Random(3)
+    letters = [*map(chr, range(0x130)), "é", " ", "  ", "\n", "!", " \n", "'s", "<|endoftext|>", "日"]
+    texts = ["".join(rng.choice(letters if rng.random() < 0.3 else list("ab 1.\n é\t")) for _ in range(rng.randint(0, 40)))
+             for _ in range(3000)] + ["", "  ", "ÿ", "a" * 9000 + " " * 9000 + "\n\n b"]
+    assert sum(bpe.is_plain(t.encode()) for t in texts) > 500
+    assert [x.tolist() for x in of.encode_arrays([t.encode() for t in texts])] == \
+        [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def slow_measures(text):
     text = text or ""
     words, lines = WORD.findall(text), text.split("\n")
@@ -193,7 +205,7 @@ def test_chat_blocks_equal_one_pass(spark, monkeypatch):
     # Viterbi by enumeration on a short run of lines.
     model = chat.train(chat.turns(frame))
     markers, features, opens = [1, -1, 2, -1], [0, 3, 3, 1], [True, False, True, True]
-    steps = chat.scores(model, markers, features, opens)
+    steps = chat.scores(chat.steps_of(model), markers, features, opens)
     start = chat._start(model)
     best = max(((sum(m[a, b] for m, a, b in zip(steps, (r0, *p), p)) + start[r0], p) for r0 in range(3)
                 for p in np.ndindex(3, 3, 3, 3)), key=lambda x: x[0])
