@@ -183,18 +183,18 @@ def library(vocabulary: str) -> Library:
 
 def write_files(df: DataFrame, vocabulary: str = DEFAULT, end: int = END, id_column: str = "doc_id",
                 text_column: str = "text") -> DataFrame:
-    """The table of file images (part, number, n_ids, image) of ``df`` in ascending order of ids."""
+    """The table of file images (part, before, n_ids, image) of ``df`` in ascending order of ids; ``before``
+    counts the ids of earlier files of the part."""
     spark = df.sparkSession
     ship_package(spark)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tie = F.xxhash64("text")
     ordered = documents(df, id_column, text_column).repartitionByRange(width, F.col("doc_id"), tie) \
         .sortWithinPartitions("doc_id", tie, "text")
-    schema = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("n_ids", pa.int64()),
-                        ("image", pa.binary())])
+    schema = pa.schema([("part", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("image", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, place, number = library(vocabulary), TaskContext.get().partitionId(), 0
+        of, place, before = library(vocabulary), TaskContext.get().partitionId(), 0
         closing = np.array([end], dtype=np.uint32)
         doc_ids, counts, streams, size = [], [], [], 0
 
@@ -202,7 +202,7 @@ def write_files(df: DataFrame, vocabulary: str = DEFAULT, end: int = END, id_col
             ids = np.concatenate(streams) if streams else np.zeros(0, dtype=np.uint32)
             return pa.RecordBatch.from_arrays(
                 [pa.array([x], type=f.type) for x, f in
-                 zip((place, number, len(ids), write_image(doc_ids, counts, ids)), schema)], schema=schema)
+                 zip((place, before, len(ids), write_image(doc_ids, counts, ids)), schema)], schema=schema)
 
         for part, texts in slices(batches, "text"):
             rows = iter(part.column("doc_id").to_pylist())
@@ -214,12 +214,12 @@ def write_files(df: DataFrame, vocabulary: str = DEFAULT, end: int = END, id_col
                     size += len(ids) + 1
                     if size >= FILE_IDS:
                         yield file()
-                        number += 1
+                        before += size
                         doc_ids, counts, streams, size = [], [], [], 0
         if doc_ids:
             yield file()
 
-    return staged(ordered.mapInArrow(run, "part int, number int, n_ids long, image binary"), "token_files")
+    return staged(ordered.mapInArrow(run, "part int, before long, n_ids long, image binary"), "token_files")
 
 
 def read_back(files: DataFrame) -> DataFrame:
@@ -227,11 +227,7 @@ def read_back(files: DataFrame) -> DataFrame:
     ship_package(files.sparkSession)
     sizes = files.groupBy("part").agg(F.sum("n_ids").alias("part_ids"))
     # One row per range of the writer: as many as its partitions, whatever the size of the corpus.
-    before = sizes.select("part", (F.sum("part_ids").over(Window.orderBy("part")) - F.col("part_ids")).alias("before"))
-    within = Window.partitionBy("part").orderBy("number")
-    places = files.select("part", "number", (F.sum("n_ids").over(within) - F.col("n_ids")).alias("inside"))
-    starts = places.join(F.broadcast(before), "part").select(
-        "part", "number", (F.col("before") + F.col("inside")).alias("start"))
+    parts = sizes.select("part", (F.sum("part_ids").over(Window.orderBy("part")) - F.col("part_ids")).alias("earlier"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,5 +241,5 @@ def read_back(files: DataFrame) -> DataFrame:
                      pa.array(counts), pa.array(sums, type=pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    joined = files.select("part", "number", "image").join(starts, ["part", "number"]).select("start", "image")
-    return joined.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    placed = files.join(F.broadcast(parts), "part").select((F.col("earlier") + F.col("before")).alias("start"), "image")
+    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
