@@ -56,10 +56,14 @@ NAMES = {
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _TITLES = "|".join(t.replace(".", r"\.") for titles in TITLES.values() for t in titles)
-#: One pattern per kind; every quantifier is bounded and starts at a border, so a match is linear.
+#: What a credential is assigned to; the quote closes a quoted name.
+_ASSIGNED = r"(?i:\b(?:token|secret|password|passwd|api[_-]?key))[\"']? ?[=:] ?"
+_BARE = r"[^\s\"'<>,;&]"
+#: One pattern per kind; every open quantifier is possessive and starts at a border, so a match is linear. A value
+#: without quotes stands right behind "=", or has six characters and a digit (else "the secret: nobody knew" is one).
 KINDS = {
-    "credential": r"(?i:\b(?:token|secret|password|passwd|api[_-]?key)) ?[=:] ?\"[^\"\s]{12,128}\"",
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\p{L}\p{N}])",
+    "credential": rf"{_ASSIGNED}(?:\"[^\"\s]++\"|'[^'\s]++'|(?<==){_BARE}++|(?={_BARE}{{6}})(?=[^\s\"'<>,;&\d]*+\d){_BARE}++)",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}(?![\p{L}\p{N}])",
     "card": r"(?<![\p{L}\p{N}.])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}(?![\p{L}\p{N}])",
     "phone": r"(?<![\p{L}\p{N}.+])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}"
              r"|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\p{L}\p{N}])",
@@ -69,7 +73,7 @@ KINDS = {
 }
 PATTERN = "|".join(KINDS.values())
 #: What every entity holds; texts without it are not searched further.
-HINT = rf"[0-9@\"]|{_TITLES}"
+HINT = rf"[0-9@\"=]|: ?'|{_TITLES}"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -104,9 +108,9 @@ def _cipher(value: Column, key: str, kind: Column, tweak: Column, hex_: Column)
     """
     def turn(state: Column, number: Column) -> Column:
         digest = F.sha2(F.concat_ws("\x1f", _text(key), number.cast("string"), kind, F.lower(tweak), F.lower(state["b"])), 256)
-        places = F.sequence(F.lit(1), F.greatest(F.length(state["a"]), F.lit(1)))
-        moved = _let(digest, lambda d: F.array_join(F.transform(places, lambda i: _rotate(
-            F.substring(state["a"], i, F.lit(1)), _byte(d, i - 1), hex_)), ""))
+        # By the array of characters: a place of a string is found from its start, which is quadratic.
+        moved = _let(digest, lambda d: F.array_join(F.transform(F.split(state["a"], ""), lambda c, i: F.when(
+            c == "", c).otherwise(_rotate(c, _byte(d, i), hex_))), ""))
         return F.struct(state["b"].alias("a"), moved.alias("b"))
 
     half = F.floor(F.length(value) / 2).cast("int")
@@ -160,7 +164,7 @@ def _listed(word: Column, key: str, title: Column) -> Column:
 
 def kind_of(m: Column) -> Column:
     """Kind of a match of PATTERN; NULL for a card number whose check digit is wrong."""
-    return F.when(m.endswith('"'), "credential").when(m.contains("@"), "email") \
+    return F.when(m.rlike(f"^{_ASSIGNED}"), "credential").when(m.contains("@"), "email") \
         .when(m.rlike(r"^\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}$"), F.when(_luhn(_digits(m)) % 10 == 0, "card")) \
         .when(m.rlike(rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"), "ip").when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn") \
         .when(m.rlike(r"^[+(\d]"), "phone").otherwise("name")
@@ -176,11 +180,14 @@ def surrogate(m: Column, key: str = KEY) -> Column:
     address, the quote of a credential; numbers are permuted as their digits and put back in shape.
     """
     def built(kind: Column) -> Column:
-        head = F.when(kind == "credential", F.regexp_extract(m, r'^[^"]*"', 0)) \
+        head = F.when(kind == "credential", F.regexp_extract(m, rf"^{_ASSIGNED}[\"']?", 0)) \
             .when(kind == "phone", F.regexp_extract(m, r"^\+\d{1,3}", 0)) \
             .when(kind == "card", F.substring(m, F.lit(1), F.lit(1))) \
             .when(kind == "name", F.regexp_extract(m, rf"^(?:{_TITLES}) ", 0)).otherwise("")
-        tail = F.when(kind == "credential", '"').when(kind == "email", F.regexp_extract(m, r"\.[A-Za-z]+$", 0)) \
+        # Punctuation behind a value without quotes belongs to the sentence.
+        closing = F.when(head.rlike("[=:] ?[\"']$"), F.substring(head, F.length(head), F.lit(1))).otherwise(
+            F.substring(m, F.length(F.rtrim(m, F.lit(".!?:)]}"))) + 1, F.length(m)))
+        tail = F.when(kind == "credential", closing).when(kind == "email", F.regexp_extract(m, r"\.[A-Za-z]+$", 0)) \
             .when(kind == "card", F.substring(m, F.length(m), F.lit(1))).otherwise("")
         return _let(F.struct(head.alias("head"), tail.alias("tail")), lambda e: split(kind, e["head"], e["tail"]))
 
@@ -194,7 +201,8 @@ def surrogate(m: Column, key: str = KEY) -> Column:
         words = F.when(kind == "name", F.split(value, " ")).otherwise(F.array(value))
         # Grouping and letter case are no part of what the permutation depends on.
         tweak = F.when(kind == "credential", "").when(kind == "name", "").when(kind == "email", tail).otherwise(head)
-        hex_ = F.when(kind != "credential", "").when(middle.rlike("^[0-9a-f]+$"), "lower") \
+        # Only a long value is taken as hexadecimal: a short one could meet the surrogate of one that is not.
+        hex_ = F.when((kind != "credential") | (F.length(middle) < 12), "").when(middle.rlike("^[0-9a-f]+$"), "lower") \
             .when(middle.rlike("^[0-9A-F]+$"), "upper").otherwise("")
 
         def one(word: Column) -> Column:
