@@ -12,7 +12,10 @@ what was seen, and no shuffle:
   script;
 * *coreference*: the same value (in any letter case or digit grouping) always gets the same surrogate;
 * *distinctness*: a permutation gives different values different surrogates. ``collisions`` checks
-  that over a corpus.
+  that over the distinct entities of a corpus before anything is replaced; after a collision (two kinds
+  of value that are permuted over different alphabets can meet) another key is drawn from the given one.
+
+A name without its title is not found, not even where the same person has one elsewhere in the text.
 
 The permutation is a Feistel network over the two halves of the value: in each round one half's
 characters are rotated within their alphabets by the digest of key, round, kind and the other half.
@@ -32,6 +35,8 @@ from mailstrata.llm.common import named
 
 KEY = "change-me"
 ROUNDS = 4
+#: Keys that are tried until one has no collision.
+DRAWS = 8
 
 #: Alphabets a character stays in.
 ALPHABETS = (
@@ -162,6 +167,10 @@ def _listed(word: Column, key: str, title: Column) -> Column:
     return out
 
 
+#: Country codes at the start of a phone's digits: no code is the start of another.
+CODE = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+
+
 def kind_of(m: Column) -> Column:
     """Kind of a match of PATTERN; NULL for a card number whose check digit is wrong."""
     return F.when(m.rlike(f"^{_ASSIGNED}"), "credential").when(m.contains("@"), "email") \
@@ -181,7 +190,6 @@ def surrogate(m: Column, key: str = KEY) -> Column:
     """
     def built(kind: Column) -> Column:
         head = F.when(kind == "credential", F.regexp_extract(m, rf"^{_ASSIGNED}[\"']?", 0)) \
-            .when(kind == "phone", F.regexp_extract(m, r"^\+\d{1,3}", 0)) \
             .when(kind == "card", F.substring(m, F.lit(1), F.lit(1))) \
             .when(kind == "name", F.regexp_extract(m, rf"^(?:{_TITLES}) ", 0)).otherwise("")
         # Punctuation behind a value without quotes belongs to the sentence.
@@ -197,10 +205,14 @@ def surrogate(m: Column, key: str = KEY) -> Column:
 
     def assembled(kind: Column, head: Column, middle: Column, tail: Column) -> Column:
         number = kind.isin("card", "phone", "ssn")
-        value = F.when(number, _digits(middle)).otherwise(middle)
+        digits = _digits(middle)
+        # A phone's country code stays; it is found in the digits, so grouping cannot matter.
+        code = F.when((kind == "phone") & middle.startswith("+"), F.regexp_extract(digits, CODE, 0)).otherwise("")
+        value = F.when(number, F.substring(digits, F.length(code) + 1, F.length(digits))).otherwise(middle)
         words = F.when(kind == "name", F.split(value, " ")).otherwise(F.array(value))
         # Grouping and letter case are no part of what the permutation depends on.
-        tweak = F.when(kind == "credential", "").when(kind == "name", "").when(kind == "email", tail).otherwise(head)
+        tweak = F.when(kind == "credential", "").when(kind == "name", "").when(kind == "email", tail) \
+            .when(kind == "phone", F.when(middle.startswith("+"), F.concat(F.lit("+"), code)).otherwise("")).otherwise(head)
         # Only a long value is taken as hexadecimal: a short one could meet the surrogate of one that is not.
         hex_ = F.when((kind != "credential") | (F.length(middle) < 12), "").when(middle.rlike("^[0-9a-f]+$"), "lower") \
             .when(middle.rlike("^[0-9A-F]+$"), "upper").otherwise("")
@@ -212,7 +224,7 @@ def surrogate(m: Column, key: str = KEY) -> Column:
             return F.coalesce(F.when(kind == "name", _listed(word, key, F.trim(head))), walked)
 
         new = F.array_join(F.transform(words, one), " ")
-        shaped = _let(new, lambda n: F.when(number, _refill(middle, n)).otherwise(n))
+        shaped = _let(new, lambda n: F.when(number, _refill(middle, F.concat(code, n))).otherwise(n))
         check = lambda n: ((10 - _luhn(F.concat(head, _digits(n), F.lit("0"))) % 10) % 10).cast("string")
         return _let(shaped, lambda n: F.concat(head, n, F.when(kind == "card", check(n)).otherwise(tail)))
 
@@ -233,7 +245,8 @@ def replaced(text: Column, key: str = KEY) -> Column:
 
 
 def anonymize(df: DataFrame, text_column: str = "text", key: str = KEY) -> DataFrame:
-    """``df`` with its text column replaced; all columns and rows stay."""
+    """``df`` with its text column replaced; all columns and rows stay. Reads ``df`` once more for the check."""
+    key = checked_key(df, text_column, key)
     new = replaced(named(text_column).cast("string"), key)
     return df.select(*[new.alias(c) if c == text_column else named(c) for c in df.columns])
 
@@ -243,7 +256,8 @@ def collisions(df: DataFrame, text_column: str = "text", key: str = KEY) -> Data
 
     Values are compared as coreference sees them: lower case, and numbers without their grouping.
     """
-    found = df.select(F.explode(entities(named(text_column).cast("string"))).alias("entity")).distinct() \
+    text = named(text_column).cast("string")
+    found = df.where(text.rlike(HINT)).select(F.explode(entities(text)).alias("entity")).distinct() \
         .select(kind_of(F.col("entity")).alias("kind"), F.col("entity"), surrogate(F.col("entity"), key).alias("new"))
 
     def canonical(c: Column) -> Column:
@@ -252,3 +266,12 @@ def collisions(df: DataFrame, text_column: str = "text", key: str = KEY) -> Data
     pairs = found.where("kind is not null").select("kind", canonical(F.col("entity")).alias("entity"),
                                                    canonical(F.col("new")).alias("surrogate")).distinct()
     return pairs.groupBy("kind", "surrogate").agg(F.count("*").alias("values")).where("values > 1")
+
+
+def checked_key(df: DataFrame, text_column: str = "text", key: str = KEY) -> str:
+    """``key``, or the first key drawn from it under which no two entities of ``df`` share a surrogate."""
+    for draw in range(DRAWS):
+        drawn = key if not draw else f"{key}\x1e{draw}"
+        if not collisions(df, text_column, drawn).limit(1).count():
+            return drawn
+    raise ValueError(f"different entities share a surrogate under each of {DRAWS} keys")

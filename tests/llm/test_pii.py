@@ -29,3 +29,25 @@ def test_credentials_of_any_length_and_quoting(spark):
     assert all(re.fullmatch(s, g) for s, g in zip(shapes, got))
     for hidden, text in zip([long, "hunter22", "AbC123xyz", "pw12", "letmein", "Zz9Zz9Zz9", local, long], got):
         assert hidden not in text
+
+
+def test_grouping_of_a_phone_does_not_matter(spark):
+    rng = random.Random(5)
+    numbers = [("1", "".join(rng.choice("0123456789") for _ in range(10))) for _ in range(200)] + [("44", f"20{k:08d}") for k in range(200)]
+    shapes = ["+{0} ({1}) {2}-{3}", "+{0}{1}{2}{3}", "+{0} {1} {2} {3}", "+{0}-{1}-{2}-{3}"]
+    texts = [shape.format(c, n[:3], n[3:6], n[6:]) for c, n in numbers for shape in shapes]
+    new = [re.sub(r"[^\d+]", "", t) for t in anonymized(spark, *texts)]
+    groups = [new[k: k + 4] for k in range(0, len(new), 4)]
+    assert all(len(set(g)) == 1 for g in groups) and len({g[0] for g in groups}) == len({f"{c}{n}" for c, n in numbers})
+    assert all(g[0].startswith("+" + c) and g[0] != f"+{c}{n}" for (c, n), g in zip(numbers, groups))
+
+
+def test_the_key_is_drawn_again_after_a_collision(spark, monkeypatch):
+    frame = spark.createDataFrame([("ann@a.example.com",), ("bob@b.example.com",)], "text string")
+    right = pii.surrogate
+    monkeypatch.setattr(pii, "surrogate", lambda m, key=pii.KEY: F.lit("x@x.com") if key == pii.KEY else right(m, key))
+    got = [r.text for r in pii.anonymize(frame).collect()]
+    assert len(set(got)) == 2 and "x@x.com" not in got
+    monkeypatch.setattr(pii, "surrogate", lambda m, key=pii.KEY: F.lit("x@x.com"))
+    with pytest.raises(ValueError):
+        pii.anonymize(frame)
