@@ -1,7 +1,7 @@
 """License scans by canonical digest.
 
 A text is reduced to what license texts have in common across copies: letters in lower case, no
-copyright lines, one spelling of equivalent words, single blanks instead of punctuation. Its SHA-256
+copyright statements, one spelling of equivalent words, single blanks instead of punctuation. Its SHA-256
 is joined to the digests of known license texts. Each line is looked up in the same way among known
 notices ("Released under the MIT License."). The known digests are a fixed table of a few dozen rows,
 so the join is a broadcast and nothing is shuffled.
@@ -74,6 +74,23 @@ use this software in a product, an acknowledgment in the product documentation w
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""),
 )
+#: Digests of whole texts too long to stand here, by canonical() of Debian's copies (/usr/share/common-licenses). The
+#: SQL does not have them. Unlicense, BSL, CC BY and other texts are missing: no copy was at hand to take a digest from.
+DIGESTS = (
+    ("Apache-2.0", "75acde0fb516a7ba4597dfc23680cf78281f7fae7f3b74a78e06ef83c1c375c6"),
+    ("Artistic-1.0-Perl", "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b"),
+    ("GFDL-1.3", "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d"),
+    ("GPL-1.0", "e80b630fa4f92f7da9cffbd75699f62bfac51ce5b33da44e74b5acc53e5187f6"),
+    ("GPL-2.0", "ada43b21b16dd64b4b8f1d9c2ab43ff16f75a8f0f835fc2f37a0c7e65f28d243"),
+    ("GPL-3.0", "274362af652e77e6f0b95849b862c8080691fdb958ffa1c562be7710f3ee74db"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "d35837e2a25aa463ef610d84a745dd508a3e9c1424ea611c4c5939307e738d63"),
+    ("MPL-2.0", "4e3ed3db421caff5beab12d8b5ed5c6f8edb888f5430801b1624448d4d7f04fe"),
+)
 #: Notices of one line (fixed values); each holds a word of HINT.
 NOTICES = (
     ("MIT", "Released under the MIT License."), ("MIT", "Licensed under the MIT License."),
@@ -97,17 +114,31 @@ STEPS = (
     (r"(^|\n)[ \t]*(the )?(mit|isc|zlib) license( \([a-z]+\))?[ \t]*(\n|$)", " "),
     (r"[^\p{L}\p{N}]+", " "),
 )
+#: What a license text goes on with behind its copyright statement.
+_OPENING = (r"(?:permission (?:is hereby granted|to use)|redistribution and use|this software is provided|all rights reserved"
+            r"|licen[cs]ed under|released under|this work is licen[cs]ed|spdx-license-identifier|everyone is permitted)")
+#: Starts of a copyright statement; "copyright notice", "copyright holders" and the item (c) of a list are none.
+_MARK = (r"(?:copyright[ \t]*(?:\(c\)|©)|copyright[ \t]+(?=[0-9<\[])|\(c\)[ \t]*(?=[0-9<\[])|©"
+         r"|(?<![^\n])[ \t]*copyright[ \t]+(?!notice|holder|owner|law|licen|statement|(?:and|or|in|of|by|is|as|to|for)\b))")
+#: STEPS without their first, which takes a whole line: a statement ends at a known opening or its line's end within
+#: 200 characters, else behind the years. A title may stand on the line of the opening.
+WHOLE_STEPS = (
+    (rf"{_MARK}(?:[^\n]{{0,200}}?(?=[ \t]*(?:{_OPENING}|\n|\z))|[0-9, \t–-]{{0,60}})", " "),
+    *STEPS[1:-2],
+    (rf"(^|\n)[ \t]*(the )?(mit|isc|zlib) license( \([a-z]+\))?[ \t.,:]*(?={_OPENING})", " "),
+    *STEPS[-2:],
+)
 
 
 def canonical(text: Column) -> Column:
     out = F.lower(F.coalesce(text, F.lit("")))
-    for pattern, new in STEPS:
+    for pattern, new in WHOLE_STEPS:
         out = F.regexp_replace(out, pattern, new)
     return F.trim(out)
 
 
 def canonical_sql(text: str) -> str:
-    """``canonical`` for DuckDB."""
+    """``canonical`` for DuckDB, but for copyright statements: its first step takes their whole line."""
     out = f"lower(coalesce({text}, ''))"
     for pattern, new in STEPS:
         out = f"regexp_replace({out}, '{pattern}', '{new}', 'g')"
@@ -123,7 +154,8 @@ def known(spark, texts: tuple[tuple[str, str], ...]) -> dict[str, str]:
 def scan(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, digest, license_id, notice_ids, n_notices) per row; notice_ids are sorted, comma-separated."""
     spark = df.sparkSession
-    texts = spark.createDataFrame(list(known(spark, TEXTS).items()), "digest string, license_id string")
+    whole = known(spark, TEXTS) | {digest: name for name, digest in DIGESTS}
+    texts = spark.createDataFrame(list(whole.items()), "digest string, license_id string")
     notices = known(spark, NOTICES)
     lookup = F.create_map(*[F.lit(x) for item in notices.items() for x in item])
     text = named(text_column).cast("string")
