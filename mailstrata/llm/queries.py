@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailstrata.llm import bpe, chat, decontaminate, licenses, pii, quality, scoring, sharding, simhash, tokenbin
-from mailstrata.llm.common import table
+from mailstrata.llm import (bpe, chat, decontaminate, licenses, pii, quality, repair, scoring, sharding, simhash, tokenbin,
+                            trie, vectors)
+from mailstrata.llm.common import staged, table
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +72,25 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.when(text.rlike(pii.HINT), replaced).otherwise(0).cast("long").alias("n_replaced"))
 
 
+def op11_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows found for every hundredth embedding, over all rows."""
+    return vectors.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest audit and repaired digest of all conversations, damaged as the contract says."""
+    rows = repair.damaged(repair.rows_of(table(spark, sf_dir, "conversations")))
+    return repair.ledger(repair.repaired(staged(repair.blocks(rows), "blocks")))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes of the trie of the rebuilt conversations, with their members and subtree sums."""
+    steps, lengths = trie.rebuilt(table(spark, sf_dir, "conversations"))
+    return trie.digest_nodes(*trie.trie(steps, lengths))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_license_scan, op2_bpe, op3_quality_rules, op4_sharding, op5_simhash_neardup, op6_decontaminate,
-        op7_token_files, op8_chat_format, op9_lm_score, op10_pii_surrogates)}
+        op7_token_files, op8_chat_format, op9_lm_score, op10_pii_surrogates, op11_adaptive_scan,
+        op12_conversation_repair, op13_prefix_trie)}
