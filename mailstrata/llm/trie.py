@@ -75,15 +75,17 @@ def grouped(prefixes: DataFrame, lengths: DataFrame) -> DataFrame:
         F.sum("ends").alias("n_ends"), *[F.first(f"up{k}").alias(f"up{k}") for k in range(LANES)]), "nodes")
     root = lengths.agg(F.count("*").alias("n_convs"), F.min("conv_id").alias("conv_id"),
                        F.count_if(F.col("length") == 0).alias("n_ends")).where("n_convs > 0")
-    top = nodes.where("depth = 1").crossJoin(F.broadcast(root.select(F.col("conv_id").alias("parent_conv_id"))))  # one row
+    ups = [f"up{k}" for k in range(LANES)]
     above = nodes.select((F.col("depth") + 1).alias("depth"), F.col("conv_id").alias("parent_conv_id"),
-                         *[F.col(f"sum_lane{k}").alias(f"up{k}") for k in range(LANES)])
-    below = nodes.where("depth > 1").join(above, ["depth", *[f"up{k}" for k in range(LANES)]])
+                         *[F.col(c).alias(u) for c, u in zip(KEYS[1:], ups)]).unionByName(
+        root.select(F.lit(1).cast("long").alias("depth"), F.col("conv_id").alias("parent_conv_id"),
+                    *[F.lit(0).cast("long").alias(u) for u in ups]))
+    below = nodes.join(above, ["depth", *ups])
     kept = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_ends", "chars", *KEYS[1:]]
     rooted = root.select("conv_id", F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("parent_conv_id"),
                          "n_convs", "n_ends", F.lit(0).cast("long").alias("chars"),
                          *[F.lit(0).cast("long").alias(c) for c in KEYS[1:]])
-    tree = staged(top.select(*kept).unionByName(below.select(*kept)).unionByName(rooted), "tree")
+    tree = staged(below.select(*kept).unionByName(rooted), "tree")
     children = tree.where("depth > 0").groupBy(F.col("parent_conv_id").alias("conv_id"), (F.col("depth") - 1).alias("depth")) \
         .agg(F.count("*").alias("n_children"), F.count_if(F.col("n_convs") == 1).alias("lone"))
     return staged(tree.join(children, ["conv_id", "depth"], "left")
