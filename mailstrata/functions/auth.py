@@ -2,79 +2,117 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mailstrata import rules
-from mailstrata.functions.common import let, null_if_empty, strip
+from mailstrata.functions.common import first_match, let, null_if_empty, strip
+
+#: A level and a token's place in one sortable number: places stay below this.
+_PLACES = 1 << 32
+
+
+def _places(tokens: Column, wanted: Callable[[Column], Column]) -> Column:
+    """Places, from 0, of the tokens that are ``wanted``."""
+    found = F.transform(tokens, lambda t, i: F.when(wanted(t), i.cast("long")))
+    return F.filter(found, lambda i: i.isNotNull())
+
 
-_CUT = "\u0001"  # stands for a top-level separator while a value is being folded
+def _with_text(tokens: Column, pieces: Column) -> Column:
+    """Every token behind the text that precedes it."""
+    return F.transform(tokens, lambda t, i: F.concat(F.get(pieces, i), t))
 
 
 def split_outside_parens(value: Column, sep: str = ";") -> Column:
     """Split on ``sep``, except inside (possibly nested) parentheses.
 
-    Values without a parenthesis take the plain split. Otherwise the value is cut at every
-    parenthesis and separator and folded once, carrying only the depth and the text so far; a
-    closing parenthesis never takes the depth below zero.
+    Values without a parenthesis take the plain split. Otherwise the depth at every separator follows
+    from places alone: the m-th separator has as many opening parentheses before it as its place exceeds
+    m when closing ones are left out, and the same the other way round. A closing parenthesis without a
+    partner does not take the depth below zero: it is one where the balance first reaches a new low, and
+    those before a separator are counted by sorting both kinds of places together. Nothing is
+    accumulated, so the work is that of sorting the places.
     """
-    zero = F.struct(F.lit(0).alias("depth"), F.lit("").alias("text"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        depth = (
-            F.when(piece == "(", acc["depth"] + 1)
-            .when(piece == ")", F.greatest(acc["depth"] - 1, F.lit(0)))
-            .otherwise(acc["depth"])
-        )
-        shown = F.when((piece == sep) & (acc["depth"] == 0), F.lit(_CUT)).otherwise(piece)
-        return F.struct(depth.alias("depth"), F.concat(acc["text"], shown).alias("text"))
-
-    pieces = F.regexp_extract_all(value, F.lit(rf"[(){sep}]|[^(){sep}]+"), F.lit(0))
-    folded = F.aggregate(pieces, zero, step, lambda acc: F.split(acc["text"], _CUT))
-    return F.when(value.contains("("), folded).otherwise(F.split(value, sep))
+    found = F.regexp_extract_all(value, F.lit(rf"[(){sep}]"), F.lit(0))
+    between = F.split(value, rf"[(){sep}]")
+
+    def is_sep(t: Column) -> Column:
+        return t == sep
+
+    def lone(tokens: Column) -> Column:
+        """Places of closing parentheses without a partner, ascending."""
+        closing = _places(tokens, lambda t: t == ")")
+        among = _places(F.filter(tokens, lambda t: t != sep), lambda t: t == ")")
+        lows = let(among, lambda own: F.transform(closing, lambda at, k: F.when(
+            F.get(own, k) < 2 * k + 1, (2 * k + 1 - F.get(own, k)) * F.lit(_PLACES) + at)))
+        return let(F.sort_array(F.filter(lows, lambda x: x.isNotNull())), lambda by_level: F.transform(
+            F.filter(by_level, lambda x, i: (i == 0) | (
+                F.floor(x / _PLACES) != F.floor(F.get(by_level, i - 1) / _PLACES))),
+            lambda x: x % _PLACES))
+
+    def cuts(tokens: Column) -> Column:
+        """Places of the separators at depth zero."""
+        opened = _places(F.filter(tokens, lambda t: t != ")"), is_sep)
+        closed = _places(F.filter(tokens, lambda t: t != "("), is_sep)
+
+        def outside(b: Column) -> Column:
+            mixed = F.sort_array(F.concat(F.transform(lone(tokens), lambda x: 2 * x),
+                                          F.transform(b["seps"], lambda x: 2 * x + 1)))
+            lifted = _places(mixed, lambda x: x % 2 == 1)
+            return let(lifted, lambda up: F.filter(b["seps"], lambda at, m: (
+                F.get(b["opened"], m) - F.get(b["closed"], m) + F.get(up, m) - m) == 0))
+
+        return let(F.struct(_places(tokens, is_sep).alias("seps"), opened.alias("opened"),
+                            closed.alias("closed")), outside)
+
+    def segments(b: Column) -> Column:
+        shown, ends = b["shown"], b["ends"]
+
+        def segment(end: Column, k: Column) -> Column:
+            start = F.when(k == 0, F.lit(0)).otherwise(F.get(ends, k - 1) + 1)
+            inside = F.slice(shown, (start + 1).cast("int"), (end - start).cast("int"))
+            return F.concat(F.array_join(inside, ""), F.get(b["pieces"], end.cast("int")))
+
+        return F.transform(ends, segment)
+
+    nested = let(F.struct(found.alias("tokens"), between.alias("pieces")), lambda b: let(F.struct(
+        _with_text(b["tokens"], b["pieces"]).alias("shown"), b["pieces"].alias("pieces"),
+        F.concat(cuts(b["tokens"]), F.array(F.size(b["tokens"]).cast("long"))).alias("ends")), segments))
+    return F.when(value.contains("("), nested).otherwise(F.split(value, sep))
 
 
 def balanced_comment(value: Column) -> Column:
     """STRUCT<rest, comment, balanced> of the first ``(...)`` in ``value``.
 
     ``comment`` keeps nested parentheses; when the first one is never closed the remaining text is
-    the comment and ``balanced`` is false. Without any parenthesis ``rest`` is the value itself.
+    the comment and ``balanced`` is false. Without any parenthesis ``rest`` is the value itself. The
+    comment ends at the first closing parenthesis with as many opening as closing ones up to it: the k-th
+    from 0, at place 2 k + 1.
     """
-    zero = F.struct(
-        F.lit(0).alias("depth"), F.lit(False).alias("done"),
-        F.lit("").alias("inner"), F.lit("").alias("tail"),
-    )
-
-    def step(acc: Column, piece: Column) -> Column:
-        depth = (
-            F.when(acc["done"], F.lit(0))
-            .when(piece == "(", acc["depth"] + 1)
-            .when(piece == ")", acc["depth"] - 1)
-            .otherwise(acc["depth"])
-        )
-        closes = ~acc["done"] & (piece == ")") & (acc["depth"] == 1)
-        return F.struct(
-            depth.alias("depth"),
-            (acc["done"] | closes).alias("done"),
-            F.when(acc["done"] | closes, acc["inner"])
-            .otherwise(F.concat(acc["inner"], piece)).alias("inner"),
-            F.when(acc["done"], F.concat(acc["tail"], piece)).otherwise(acc["tail"]).alias("tail"),
-        )
-
     before = F.substring_index(value, "(", 1)
     from_open = F.substring(value, F.length(before) + 1, F.length(value))
-    pieces = F.regexp_extract_all(from_open, F.lit(r"[()]|[^()]+"), F.lit(0))
-    folded = F.aggregate(pieces, zero, step)
-
-    def result(acc: Column) -> Column:
-        inner = strip(F.substring(acc["inner"], F.lit(2), F.length(acc["inner"])))
-        rest = F.when(acc["done"], F.concat(before, F.lit(" "), acc["tail"])).otherwise(before)
-        return F.struct(strip(rest).alias("rest"), null_if_empty(inner).alias("comment"),
-                        acc["done"].alias("balanced"))
+    tokens = F.regexp_extract_all(from_open, F.lit(r"[()]"), F.lit(0))
+    pieces = F.split(from_open, r"[()]")
+
+    def result(b: Column) -> Column:
+        done, text = b["end"].isNotNull(), b["text"]
+        head = F.when(done, F.concat(F.array_join(F.slice(_with_text(b["tokens"], b["pieces"]), F.lit(1), b["end"].cast("int")), ""),
+                                     F.get(b["pieces"], b["end"].cast("int")))).otherwise(text)
+        return let(head, lambda h: F.struct(
+            strip(F.when(done, F.concat(before, F.lit(" "), F.substring(text, F.length(h) + 2, F.length(text)))).otherwise(before))
+            .alias("rest"),
+            null_if_empty(strip(F.substring(h, F.lit(2), F.length(h)))).alias("comment"), done.alias("balanced")))
+
+    def read(b: Column) -> Column:
+        closing = F.transform(_places(b["tokens"], lambda t: t == ")"), lambda at, k: F.when(at == 2 * k + 1, at))
+        return let(F.struct(b["tokens"].alias("tokens"), b["pieces"].alias("pieces"), from_open.alias("text"),
+                            first_match(closing, lambda at: at.isNotNull()).alias("end")), result)
 
     plain = F.struct(value.alias("rest"), F.lit(None).cast("string").alias("comment"),
                      F.lit(True).alias("balanced"))
-    return F.when(value.contains("("), let(folded, result)).otherwise(plain)
+    return F.when(value.contains("("), let(F.struct(tokens.alias("tokens"), pieces.alias("pieces")), read)).otherwise(plain)
 
 
 def known_auth_result(result: Column) -> Column:

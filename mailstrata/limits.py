@@ -15,12 +15,11 @@ UNBOUNDED = 1 << 62
 
 @dataclass(frozen=True)
 class Limits:
-    # Reject bounds: none unless the caller sets one. The depth alone is bounded, by the MIME parser,
-    # which recurses.
+    # Reject bounds: none unless the caller sets one.
     message_bytes: int = UNBOUNDED
     header_bytes: int = UNBOUNDED
     mime_parts: int = UNBOUNDED
-    mime_depth: int = 64
+    mime_depth: int = UNBOUNDED
     # Container bounds.
     archive_depth: int = 3
     archive_entries: int = 500

@@ -8,6 +8,8 @@ or a sort.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -250,29 +252,46 @@ def alignment(domain: Column, from_domain: Column) -> Column:
 
 def conflicting_methods(results: Column) -> Column:
     """ARRAY<STRUCT<method, results MAP<result, ARRAY<authserv_id>>>> for methods with more than one
-    distinct result. Rows are sorted once; neighbours tell which methods disagree."""
+    distinct result.
+
+    Rows are sorted once; neighbours tell where runs of equal results and of equal methods begin, and each
+    run is one slice, so every row is copied a fixed number of times.
+    """
     ranked = F.sort_array(F.transform(
         results, lambda r: F.struct(r["method"].alias("m"), r["result"].alias("r"),
                                     r["authserv_id"].alias("a"))))
 
-    def read(rows: Column) -> Column:
-        def clash(e: Column, i: Column) -> Column:
-            before = F.get(rows, i - 1)
-            return F.coalesce((before["m"] == e["m"]) & (before["r"] != e["r"]), F.lit(False))
-
-        methods = F.array_distinct(F.transform(F.filter(rows, clash), lambda e: e["m"]))
-
-        def detail(m: Column) -> Column:
-            mine = F.filter(rows, lambda e: e["m"] == m)
-            return F.struct(m.alias("method"), F.map_from_entries(F.transform(
-                F.array_distinct(F.transform(mine, lambda e: e["r"])),
-                lambda r: F.struct(r.alias("key"), F.array_distinct(F.transform(
-                    F.filter(mine, lambda e: e["r"] == r), lambda e: e["a"])).alias("value"))
-            )).alias("results"))
-
-        return F.transform(methods, detail)
-
-    return let(ranked, read)
+    def starts(rows: Column, differs: Callable[[Column, Column], Column]) -> Column:
+        """Places where a run of rows begins, and the end of the last one."""
+        places = F.transform(rows, lambda e, i: F.when(
+            (i == 0) | F.coalesce(differs(F.get(rows, i - 1), e), F.lit(True)), i))
+        return F.concat(F.filter(places, lambda i: i.isNotNull()), F.array(F.size(rows)))
+
+    def run(rows: Column, at: Column, k: Column) -> Column:
+        """The rows of the k-th run."""
+        return F.slice(rows, F.get(at, k) + 1, F.get(at, k + 1) - F.get(at, k))
+
+    def each_run(at: Column, made: Callable[[Column], Column]) -> Column:
+        return F.transform(F.slice(at, F.lit(1), F.size(at) - 1), lambda _, k: made(k))
+
+    def servers(rows: Column) -> Column:
+        return F.transform(F.filter(rows, lambda e, i: (i == 0) | ~e["a"].eqNullSafe(F.get(rows, i - 1)["a"])),
+                           lambda e: e["a"])
+
+    def states(rows: Column) -> Column:
+        """ARRAY<STRUCT<m, r, servers>>: one element per method and result."""
+        at = starts(rows, lambda x, y: (x["m"] != y["m"]) | (x["r"] != y["r"]))
+        return let(at, lambda at: each_run(at, lambda k: let(run(rows, at, k), lambda own: F.struct(
+            F.get(own, F.lit(0))["m"].alias("m"), F.get(own, F.lit(0))["r"].alias("r"), servers(own).alias("servers")))))
+
+    def methods(found: Column) -> Column:
+        at = starts(found, lambda x, y: x["m"] != y["m"])
+        return let(at, lambda at: F.filter(each_run(at, lambda k: let(run(found, at, k), lambda own: F.when(
+            F.size(own) > 1, F.struct(F.get(own, F.lit(0))["m"].alias("method"), F.map_from_entries(F.transform(
+                own, lambda s: F.struct(s["r"].alias("key"), s["servers"].alias("value")))).alias("results"))))),
+            lambda x: x.isNotNull()))
+
+    return let(let(ranked, states), methods)
 
 
 #: Groups of authentication observations that can be asked for alone.

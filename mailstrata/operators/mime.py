@@ -22,6 +22,7 @@ from mailstrata import rules
 from mailstrata.functions.common import null_if_empty, rows_of
 from mailstrata.limits import Limits
 from mailstrata.operators.addresses import PLAIN_ADDRESS
+from mailstrata.operators.headers import header_fields
 from mailstrata.sources.arrow_stage import arrow_stage
 from mailstrata.sources.mail import REJECT_TYPE, fingerprint
 
@@ -29,8 +30,11 @@ ADDRESS_TYPE = "struct<role:string,ordinal:int,display_name:string,addr:string,r
 PART_TYPE = (
     "struct<part_index:string,parent_index:string,depth:int,ordinal:int,content_type:string,"
     "is_container:boolean,filename:string,filename_compat:string,disposition:string,"
-    "size_bytes:bigint,sha256:string,is_attachment:boolean>"
+    "size_bytes:bigint,sha256:string,is_attachment:boolean,last:int,before:bigint>"
 )
+#: Fields of a part that tables show; ``last`` is the ordinal of the last part of its subtree.
+PART_FIELDS = ("part_index", "parent_index", "depth", "ordinal", "content_type", "is_container", "filename",
+               "filename_compat", "disposition", "size_bytes", "sha256", "is_attachment", "last")
 # Bodies live beside the structure, so reading the structure never reads them.
 TEXT_TYPE = "struct<ordinal:int,part_index:string,content_type:string,text:string>"
 CARRIED_TYPE = (
@@ -53,7 +57,7 @@ def flatten_messages(messages: DataFrame, limits: Limits = Limits(), with_text:
                      with_payload: bool = True) -> DataFrame:
     """Fingerprint and parse; ``raw`` goes away, nested columns come in.
 
-    Result: ``source_path, modification_time, size_bytes, sha256, evidence_id, head, reject,
+    Result: ``source_path, modification_time, size_bytes, sha256, evidence_id, fields, reject,
     subject, message_id, addresses, parts, texts, carried, header_urls, warnings``. Rejected rows keep only identity
     and ``reject``. ``with_text`` / ``with_payload`` say whether text bodies / attachment bytes are
     carried along for the URL and attachment areas.
@@ -65,9 +69,9 @@ def flatten_messages(messages: DataFrame, limits: Limits = Limits(), with_text:
         return _Flattening(limits, with_text, with_payload).run(raw)
 
     out = arrow_stage(df, "raw", "parsed", PARSED_TYPE, parse)
-    kept = [c for c in out.columns if c not in ("parsed", "reject")]
+    kept = [c for c in out.columns if c not in ("parsed", "reject", "head")]
     return out.select(
-        *kept,
+        *kept, header_fields(F.col("head")).alias("fields"),
         F.coalesce("reject", "parsed.reject").alias("reject"),
         *[F.col(f"parsed.{c}") for c in (
             "subject", "message_id", "addresses", "parts", "texts", "carried", "header_urls",
@@ -92,6 +96,7 @@ class _Flattening:
         self.carried: list[dict[str, Any]] = []
         self.warnings: list[dict[str, Any]] = []
         self.text_parts = 0
+        self.bytes = 0  # of the leaves so far
 
     def run(self, raw: bytes) -> dict[str, Any]:
         try:
@@ -99,6 +104,8 @@ class _Flattening:
             self.visit(message, "0", None, 0)
         except _Bound as bound:
             return {"reject": bound.row}
+        except RecursionError:  # of the parser, far beyond any real message
+            return {"reject": {"reason": "mime-too-deep", "observed": None, "limit": None}}
         except Exception:
             return {"reject": {"reason": "unparseable", "observed": len(raw), "limit": None}}
         for name in ("date", "from"):
@@ -134,13 +141,14 @@ class _Flattening:
         row: dict[str, Any] = {
             "part_index": index, "parent_index": parent, "depth": depth,
             "ordinal": len(self.parts), "content_type": _text(part.get_content_type()),
-            "is_container": part.is_multipart(), "is_attachment": False,
+            "is_container": part.is_multipart(), "is_attachment": False, "before": self.bytes,
         }
         self.parts.append(row)
         if part.is_multipart():
             children = part.get_payload()
             for i, child in enumerate(children if isinstance(children, list) else []):
                 self.visit(child, f"{index}.{i}", index, depth + 1)
+            row["last"] = len(self.parts) - 1
             return
         data = self.payload(part, index)
         disposition = part.get_content_disposition()
@@ -148,7 +156,8 @@ class _Flattening:
         row.update(
             filename=filename, filename_compat=compat, disposition=_text(disposition),
             size_bytes=len(data), sha256=hashlib.sha256(data).hexdigest() if data else None,
-            is_attachment=attached)
+            is_attachment=attached, last=row["ordinal"])
+        self.bytes += len(data)
         if attached:
             if self.with_payload:
                 self.carried.append({
@@ -296,14 +305,12 @@ def _parsed_addresses(message: Message, role: str) -> list[tuple[str, str, str]]
 def with_container_sizes(df: DataFrame) -> DataFrame:
     """Give every container the summed size of the leaves below it.
 
-    A message has a bounded number of parts, so ancestors are matched inside the row by path prefix.
+    Parts are numbered depth first, so a subtree is a range of them, and its size a difference of running sums:
+    what lies before the part after its last one, less what lies before itself.
     """
-    leaves = F.filter("parts", lambda p: ~p["is_container"])
-
     def size(p: Column) -> Column:
-        below = F.filter(leaves, lambda q: q["part_index"].startswith(
-            F.concat(p["part_index"], F.lit("."))))
-        return F.aggregate(below, F.lit(0).cast("bigint"), lambda acc, q: acc + q["size_bytes"])
+        end = F.get(F.col("parts"), p["last"])
+        return end["before"] + F.coalesce(end["size_bytes"], F.lit(0)) - p["before"]
 
     return df.withColumn("parts", F.transform("parts", lambda p: p.withField(
         "size_bytes", F.when(p["is_container"], size(p)).otherwise(p["size_bytes"]))))
@@ -312,7 +319,7 @@ def with_container_sizes(df: DataFrame) -> DataFrame:
 def part_rows(df: DataFrame) -> DataFrame:
     """``parts(source_path, evidence_id, the fields of PART_TYPE)``."""
     return with_container_sizes(df.where(F.col("reject").isNull())).select(
-        "source_path", "evidence_id", F.inline_outer("parts"))
+        "source_path", "evidence_id", F.inline_outer("parts")).select("source_path", "evidence_id", *PART_FIELDS)
 
 
 def unnamed(filename: Column, part_index: Column) -> Column:

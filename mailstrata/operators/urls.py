@@ -1,14 +1,17 @@
-"""URLs of a message: sightings, merge by identity, observations.
+"""URLs of a message: a ledger of candidates, merge by identity, observations.
 
-Shape of the job: message rows -> text sources -> HTML stage -> sightings (all narrow), then ONE
-exchange by ``source_path``. The per-message cap, the merge and the per-message count all reuse that
-partitioning. A ``source_path`` group is one message; copies of a message are different paths.
+Shape of the job: message rows -> text sources -> HTML stage -> candidates, all narrow. The ledger holds what
+this one pass finds: every candidate with its rank in the message and its parts, HTML failures, and a marker
+row per message. URLs, warnings and counts are read from it, so extraction runs once. A message's rows leave the
+pass together and in order, so ranks are counted on the way, without an exchange.
+
+Merging exchanges by (message, identity), not by message: a message with millions of URLs spreads over all tasks.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -16,7 +19,7 @@ from mailstrata import rules
 from mailstrata.functions.common import null_if_empty, rows_of, strip
 from mailstrata.functions.text import clean_url_text, looks_defanged, url_spellings
 from mailstrata.functions.urls import with_url
-from mailstrata.limits import Limits
+from mailstrata.limits import UNBOUNDED, Limits
 from mailstrata.operators.html import html_links
 from mailstrata.operators.observations import (
     observation,
@@ -24,25 +27,27 @@ from mailstrata.operators.observations import (
     present,
 )
 from mailstrata.session import ship_package
+from mailstrata.sources.arrow_stage import running_count
 
-# Text sources of a message are numbered in document order: body parts, then header values.
-_HEADERS_FROM = 1 << 20
-_MARKER = "message"  # one row per message without a URL, so that "no URLs" is observable
+_MARKER = "message"  # one row per message, so that "no URLs" is observable
+_FAILED = "html-failed"
+#: Room for the observations of one URL between the ranks of two.
+_CODES = 16
 
 
 def text_sources(df: DataFrame) -> DataFrame:
-    """One row per scannable text of an accepted message, plus one marker row per message."""
+    """One row per scannable text of an accepted message, behind one marker row per message: body parts in
+    document order, then header values."""
 
-    def source(kind: Column, ordinal: Column, detail: Column, text: Column) -> Column:
-        return F.struct(kind.alias("kind"), ordinal.cast("int").alias("source_ord"),
-                        detail.cast("string").alias("detail"), text.cast("string").alias("text"))
+    def source(kind: Column, detail: Column, text: Column) -> Column:
+        return F.struct(kind.alias("kind"), detail.cast("string").alias("detail"),
+                        text.cast("string").alias("text"))
 
     bodies = F.transform("texts", lambda t: source(
         F.when(t["content_type"] == "text/html", "html").otherwise("body-text"),
-        t["ordinal"], t["part_index"], t["text"]))
-    headers = F.transform("header_urls", lambda h: source(
-        F.lit("header"), h["ordinal"] + _HEADERS_FROM, h["name"], h["value"]))
-    marker = F.array(source(F.lit(_MARKER), F.lit(-1), F.lit(None), F.lit(None)))
+        t["part_index"], t["text"]))
+    headers = F.transform("header_urls", lambda h: source(F.lit("header"), h["name"], h["value"]))
+    marker = F.array(source(F.lit(_MARKER), F.lit(None), F.lit(None)))
     return df.where(F.col("reject").isNull()).select(
         "source_path", "evidence_id", F.inline_outer(F.concat(marker, bodies, headers)))
 
@@ -57,53 +62,50 @@ def linked_sources(df: DataFrame) -> DataFrame:
 
 
 def candidates(df: DataFrame) -> DataFrame:
-    """Every URL spelling found, before the cap; ``ord`` is a total document order in the message."""
-    pieces = F.when(
-        F.col("html_links").isNotNull(),
-        F.transform(F.col("html_links.links"), lambda link, i: F.struct(
-            i.alias("piece_ord"), link["kind"].alias("kind"),
-            F.when(link["tag"].isNotNull(), F.concat(
-                F.col("detail"), F.lit(" <"), link["tag"], F.lit(" "), link["attr"], F.lit(">")))
-            .otherwise(F.col("detail")).alias("detail"),
-            link["value"].alias("text"), link["anchor_text"].alias("anchor_text")))
-    ).otherwise(F.array(F.struct(
-        F.lit(0).alias("piece_ord"), F.col("kind").alias("kind"), F.col("detail").alias("detail"),
-        F.col("text").alias("text"), F.lit(None).cast("string").alias("anchor_text"))))
-    rows = rows_of(linked_sources(df), ("source_path", "evidence_id", "source_ord"), pieces,
-                   "piece")
-    spelled = F.when(F.col("piece.kind") == _MARKER,
-                     F.array(F.lit(None).cast("string"))).otherwise(
+    """Every URL spelling found, in document order; marker and failed HTML parts have a NULL candidate."""
+    piece = F.struct(F.col("kind").alias("kind"), F.col("detail").alias("detail"), F.col("text").alias("text"),
+                     F.lit(None).cast("string").alias("anchor_text"))
+    failed = F.struct(F.lit(_FAILED).alias("kind"), F.col("detail").alias("detail"),
+                      F.lit(None).cast("string").alias("text"), F.col("html_links.failed").alias("anchor_text"))
+    links = F.transform(F.col("html_links.links"), lambda link: F.struct(
+        link["kind"].alias("kind"),
+        F.when(link["tag"].isNotNull(), F.concat(
+            F.col("detail"), F.lit(" <"), link["tag"], F.lit(" "), link["attr"], F.lit(">")))
+        .otherwise(F.col("detail")).alias("detail"),
+        link["value"].alias("text"), link["anchor_text"].alias("anchor_text")))
+    pieces = F.when(F.col("html_links.failed").isNotNull(), F.array(failed)).when(
+        F.col("html_links").isNotNull(), links).otherwise(F.array(piece))
+    rows = rows_of(linked_sources(df), ("source_path", "evidence_id"), pieces, "piece")
+    spelled = F.when(F.col("piece.kind").isin(_MARKER, _FAILED), F.array(F.lit(None).cast("string"))).otherwise(
         url_spellings(F.col("piece.text")))
-    rows = rows_of(rows, ("source_path", "evidence_id", "source_ord", "piece"), spelled, "spelling",
-                   "match_ord")
-    return rows.select(
-        "source_path", "evidence_id",
-        F.struct("source_ord", "piece.piece_ord", "match_ord").alias("ord"),
-        "piece.kind", "piece.detail", "piece.anchor_text",
-        clean_url_text(F.col("spelling")).alias("candidate"))
+    # The text itself stays behind: a copy for each URL in it would grow with the square of its length.
+    kept = ("source_path", "evidence_id", "kind", "detail", "anchor_text")
+    rows = rows.select("source_path", "evidence_id", "piece.kind", "piece.detail", "piece.anchor_text", spelled.alias("spellings"))
+    return rows_of(rows, kept, "spellings", "spelling", "match_ord").select(
+        *kept, clean_url_text(F.col("spelling")).alias("candidate"))
 
 
-def ranked_candidates(df: DataFrame) -> DataFrame:
-    """Candidates with their rank in the message (marker row: rank 1, candidates from 2 on)."""
-    order = Window.partitionBy("source_path").orderBy("ord")
-    return candidates(df).withColumn("rank", F.row_number().over(order))
+def url_ledger(df: DataFrame) -> DataFrame:
+    """One pass over the accepted messages of ``df``: ``source_path, evidence_id, rank, kind, detail,
+    anchor_text, candidate, defanged_in_source, u``.
 
+    ``rank`` counts a message's candidates from 1; ``u`` is a candidate's decomposition and ``u.valid`` false
+    where it is no URL after all. The marker row of a message has rank 0.
+    """
+    found = candidates(df).withColumn("counted", F.col("candidate").isNotNull())
+    ranked = running_count(found, "source_path", "counted", "rank").drop("counted")
+    return with_url(ranked.withColumn("defanged_in_source", looks_defanged(F.col("candidate"))), "candidate")
 
-def sightings(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The first ``limits.url_candidates`` candidates of each message, decomposed.
 
-    ``u.valid`` is false for candidates that are no URL after all; the marker row has a NULL
-    candidate.
-    """
-    kept = ranked_candidates(df).where(F.col("rank") <= limits.url_candidates + 1).drop("rank")
-    kept = kept.withColumn("defanged_in_source", looks_defanged(F.col("candidate")))
-    return with_url(kept, "candidate")
+def sightings(ledger: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The valid ones of the first ``limits.url_candidates`` candidates of each message."""
+    return ledger.where(F.col("u.valid") & (F.col("rank") <= limits.url_candidates))
 
 
-def url_sightings(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def url_sightings(ledger: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """``url_sightings``: one row per valid sighting."""
-    return sightings(df, limits).where(F.col("u.valid")).select(
-        "source_path", "evidence_id", "ord", "kind", "detail", "defanged_in_source", "candidate",
+    return sightings(ledger, limits).select(
+        "source_path", "evidence_id", "rank", "kind", "detail", "defanged_in_source", "candidate",
         "anchor_text", "u.url", "u.url_key")
 
 
@@ -116,31 +118,29 @@ def with_display_key(df: DataFrame) -> DataFrame:
         "d", "shown_url")
 
 
-def merged_urls(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """One row per (message, URL identity), first sighting wins, and one row with NULL ``url_key`` per
-    message.
+def merged_urls(ledger: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """One row per (message, URL identity), first sighting wins.
 
     Sightings at the same place are counted first, then merged, so the second step sees one row per
-    place.
+    place. Both exchanges are by identity.
     """
-    seen = with_display_key(sightings(df, limits)).where(
-        F.coalesce("u.valid", F.lit(False)) | (F.col("kind") == _MARKER))
+    seen = with_display_key(sightings(ledger, limits))
     differs = F.col("display_key").isNotNull() & (F.col("display_key") != F.col("u.url_key"))
-    seen = seen.withColumn("mismatch", F.when(differs, F.struct("ord", "anchor_text")))
+    seen = seen.withColumn("mismatch", F.when(differs, F.struct("rank", "anchor_text")))
     places = seen.groupBy(
         "source_path", "evidence_id", F.col("u.url_key").alias("url_key"), "kind", "detail",
         "defanged_in_source",
     ).agg(
-        F.count(F.lit(1)).alias("count"), F.min("ord").alias("ord"),
-        F.min_by("u", "ord").alias("u"), F.min("mismatch").alias("mismatch"))
-    source = F.struct("ord", "kind", "detail", "defanged_in_source", "count")
+        F.count(F.lit(1)).alias("count"), F.min("rank").alias("rank"),
+        F.min_by("u", "rank").alias("u"), F.min("mismatch").alias("mismatch"))
+    source = F.struct("rank", "kind", "detail", "defanged_in_source", "count")
     return places.groupBy("source_path", "evidence_id", "url_key").agg(
-        F.min("ord").alias("ord"),
-        F.min_by("u", "ord").alias("u"),
+        F.min("rank").alias("rank"),
+        F.min_by("u", "rank").alias("u"),
         F.min("mismatch").alias("mismatch"),
         F.sum(F.when(F.col("defanged_in_source"), F.col("count")).otherwise(0))
         .alias("defanged_sightings"),
-        F.transform(F.sort_array(F.collect_list(source)), lambda s: s.dropFields("ord"))
+        F.transform(F.sort_array(F.collect_list(source)), lambda s: s.dropFields("rank"))
         .alias("sources"))
 
 
@@ -174,32 +174,30 @@ URL_COLUMNS = (
 
 
 def with_observations(merged: DataFrame) -> DataFrame:
-    """Flatten ``u`` and add ``observed``: the observations of each URL, and on the marker row the
-    message's URL count."""
+    """Flatten ``u`` and add ``observed``: the observations of each URL."""
     ship_package(merged.sparkSession)
-    marker = F.col("url_key").isNull()
-    per_message = Window.partitionBy("source_path")
-    df = merged.withColumn("url_count", F.count("url_key").over(per_message))
     fields = [c for c in URL_COLUMNS if c != "host_unicode"]
-    df = df.select(
-        "source_path", "evidence_id", "url_key", "ord", "mismatch", "defanged_sightings", "sources",
-        "url_count", *[F.col(f"u.{c}").alias(c) for c in fields])
+    df = merged.select(
+        "source_path", "evidence_id", "url_key", "rank", "mismatch", "defanged_sightings", "sources",
+        *[F.col(f"u.{c}").alias(c) for c in fields])
     df = df.withColumn("host_unicode", host_unicode(F.col("host"), F.col("punycode")))
-    return df.withColumn("observed", F.when(marker, _count_observation()).otherwise(
-        _url_observations()))
+    return df.withColumn("observed", _url_observations())
 
 
-def _count_observation() -> Column:
-    n = F.col("url_count")
-    return F.array(observation(
+def url_counts(ledger: DataFrame, merged: DataFrame) -> DataFrame:
+    """Observation rows: how many distinct URLs each message has, combined map-side."""
+    markers = ledger.where(F.col("kind") == _MARKER).select("source_path", "evidence_id", F.lit(0).alias("n"))
+    n = F.col("n")
+    counted = markers.unionByName(merged.select("source_path", "evidence_id", F.lit(1).alias("n"))).groupBy(
+        "source_path", "evidence_id").agg(F.sum("n").alias("n"))
+    return observation_rows(counted.withColumn("observed", F.array(observation(
         1 << 60, F.when(n > 0, "url-count").otherwise("no-urls"),
-        F.concat(n.cast("string"), F.lit(" distinct URL(s)")), url_count=n))
+        F.concat(n.cast("string"), F.lit(" distinct URL(s)")), url_count=n))), "urls", "observed")
 
 
 def _url_observations() -> Column:
     url, host = F.col("url"), F.col("host")
-    place = (F.col("ord.source_ord").cast("bigint") * (1 << 46)
-             + F.col("ord.piece_ord").cast("bigint") * (1 << 26) + F.col("ord.match_ord").cast("bigint") * 16)
+    place = F.col("rank") * _CODES
     names = F.transform("query_params", lambda p: p["name"])
     shown = clean_url_text(strip(F.col("mismatch.anchor_text")))
     items = [
@@ -236,7 +234,7 @@ def _url_observations() -> Column:
 
 def url_rows(observed: DataFrame) -> DataFrame:
     """``urls``: one row per distinct URL of a message, with its sources and observation codes."""
-    return observed.where(F.col("url_key").isNotNull()).select(
+    return observed.select(
         "source_path", "evidence_id", *URL_COLUMNS, "sources",
         F.array_distinct(F.transform("observed", lambda o: o["code"])).alias("observation_codes"))
 
@@ -245,24 +243,23 @@ def url_observations(observed: DataFrame) -> DataFrame:
     return observation_rows(observed, "urls", "observed")
 
 
-def url_warnings(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Warnings of extraction and decomposition; those of decoding come with the message rows."""
+def url_warnings(ledger: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Warnings of extraction and decomposition, read off the ledger; those of decoding come with the message
+    rows."""
     cap = limits.url_candidates
-    ranked = with_url(ranked_candidates(df), "candidate")
-    over = Window.partitionBy("source_path")
-    ranked = ranked.withColumn("found", F.count("candidate").over(over))
-    late = (F.col("kind") == _MARKER) & (F.col("found") > cap)
-    bad = (F.col("rank") <= cap + 1) & ~F.coalesce("u.valid", F.lit(True))
-    unparseable = ranked.where(late | bad).select(
+    failed = F.col("kind") == _FAILED
+    bad = (F.col("rank") <= cap) & ~F.coalesce("u.valid", F.lit(True))
+    found = ledger.where(failed | bad).select(
         "source_path", F.lit("urls").alias("stage"),
-        (F.col("rank") + F.lit(1 << 32)).cast("bigint").alias("seq"),
-        F.when(late, "url-candidate-cap").otherwise("url-unparseable").alias("code"),
-        F.when(late, F.concat(F.col("found").cast("string"), F.lit(f" found, first {cap} kept")))
-        .otherwise(F.col("candidate")).alias("detail"),
+        (F.col("rank") + F.when(failed, 0).otherwise(1 << 32)).cast("bigint").alias("seq"),
+        F.when(failed, "url-html-parse-failed").otherwise("url-unparseable").alias("code"),
+        F.when(failed, F.col("anchor_text")).otherwise(F.col("candidate")).alias("detail"),
+        F.when(failed, F.col("detail")).alias("part"))
+    if cap >= UNBOUNDED:
+        return found
+    late = ledger.where(F.col("rank") > cap).groupBy("source_path").agg(F.max("rank").alias("found")).select(
+        "source_path", F.lit("urls").alias("stage"), (F.lit(1 << 33) + F.col("found")).alias("seq"),
+        F.lit("url-candidate-cap").alias("code"),
+        F.concat(F.col("found").cast("string"), F.lit(f" found, first {cap} kept")).alias("detail"),
         F.lit(None).cast("string").alias("part"))
-    failed = linked_sources(df).where(F.col("html_links.failed").isNotNull()).select(
-        "source_path", F.lit("urls").alias("stage"),
-        F.col("source_ord").cast("bigint").alias("seq"),
-        F.lit("url-html-parse-failed").alias("code"), F.col("html_links.failed").alias("detail"),
-        F.col("detail").alias("part"))
-    return unparseable.unionByName(failed)
+    return found.unionByName(late)

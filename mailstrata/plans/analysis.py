@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from mailstrata.limits import Limits
 from mailstrata.operators import attachments as att
 from mailstrata.operators import auth, containers, headers, mime, received, urls
-from mailstrata.operators.addresses import with_return_path
+from mailstrata.operators.addresses import with_from_domain, with_return_path
 from mailstrata.operators.mime import all_of, first_of
 from mailstrata.session import stage
 
@@ -45,7 +45,7 @@ def analyze(messages: DataFrame, areas: Iterable[str] = AREAS, limits: Limits =
     observed: list[DataFrame] = []
     warned = [mime.message_warnings(ok)]
     if {"headers", "authentication"} & set(wanted):
-        fields = headers.with_fields(ok.select("source_path", "evidence_id", "head"))
+        fields = ok.select("source_path", "evidence_id", "fields")
         tables["headers"] = headers.header_rows(fields)
         if "headers" in wanted:
             tables["routing"] = routing_rows(fields)
@@ -56,15 +56,20 @@ def analyze(messages: DataFrame, areas: Iterable[str] = AREAS, limits: Limits =
             tables["auth_results"] = auth.auth_result_rows(fields)
             tables["dkim_signatures"] = auth.dkim_rows(fields)
             tables["received_spf"] = auth.spf_rows(fields)
+            tables["from_domains"] = with_from_domain(fields).select("source_path", "evidence_id", "from_domain")
             observed.append(auth.auth_observations(fields))
             warned.append(auth.auth_warnings(fields))
     if "urls" in wanted:
-        seen = urls.with_observations(urls.merged_urls(ok, limits))
+        ledger = urls.url_ledger(ok)
+        if staged:
+            ledger = stage(ledger, "ledger")
+        seen = urls.with_observations(urls.merged_urls(ledger, limits))
         if staged:
             seen = stage(seen, "urls")
         tables["urls"] = urls.url_rows(seen)
-        observed.append(urls.url_observations(seen))
-        warned += [mime.message_warnings(ok, "urls"), urls.url_warnings(ok, limits)]
+        counts = urls.url_counts(ledger, seen)
+        observed += [urls.url_observations(seen), stage(counts, "url_counts") if staged else counts]
+        warned += [mime.message_warnings(ok, "urls"), urls.url_warnings(ledger, limits)]
     if "attachments" in wanted:
         carried = att.attachment_rows(ok)
         listed = containers.with_inventory(carried, limits)
@@ -90,9 +95,7 @@ def union(frames: list[DataFrame]) -> DataFrame:
 
 def message_rows(ok: DataFrame) -> DataFrame:
     """``messages``: the normalized view of one message."""
-    fields = headers.header_fields(F.col("head"))
-    df = ok.withColumn("fields", fields)
-    return df.withColumn("date", headers.message_date(headers.first_of_any("date"))).select(
+    return ok.withColumn("date", headers.message_date(headers.first_of_any("date"))).select(
         "source_path", "modification_time", "evidence_id", "sha256", "size_bytes", "date",
         first_of("from").alias("from_addr"), all_of("to").alias("to"), all_of("cc").alias("cc"),
         all_of("reply-to").alias("reply_to"), first_of("return-path").alias("return_path"),
@@ -102,7 +105,7 @@ def message_rows(ok: DataFrame) -> DataFrame:
 def routing_rows(fields: DataFrame) -> DataFrame:
     """``routing``: the wide header projection of one message."""
     return with_return_path(headers.with_routing(fields)).drop(
-        "fields", "head", "return_path_original", "date_original")
+        "fields", "return_path_original", "date_original")
 
 
 def reparse_warnings(ok: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +29,7 @@ def _display(text: Column, limits: Limits) -> Column:
 def overview(parsed: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """One summary row per accepted message, row-local: every count comes from the row's arrays."""
     ok = parsed.where(F.col("reject").isNull())
-    df = ok.withColumn("fields", headers.header_fields(F.col("head")))
-    df = df.withColumn("date", headers.message_date(headers.first_of_any("date")))
+    df = ok.withColumn("date", headers.message_date(headers.first_of_any("date")))
     attached = F.filter("parts", lambda p: p["is_attachment"])
     names = F.array_join(
         F.transform(attached, lambda p: unnamed(p["filename"], p["part_index"])), ", ")
@@ -51,68 +53,195 @@ def overview(parsed: DataFrame, limits: Limits = Limits()) -> DataFrame:
     )
 
 
-#: Dotted paths, which are ordered by their numbers: 0.2 before 0.10.
-DOTTED = ("part_index", "container_path")
+# --- one JSON document per message --------------------------------------------------------------
+#
+# Every table contributes *items*: (source_path, block, path, name, slot, at, json), where ``block`` is the
+# place of an item in the document, (path, name) its order there, and (slot, at) its place in a record that
+# has items of several tables. One union of all items is exchanged by message; records and documents are then
+# put together in place.
 
+_AREAS = {"headers": "received", "authentication": "auth", "urls": "urls", "attachments_detail": "attachments"}
+_RECORDS = "attachments_detail.attachments"
 
-def _dotted(path: str) -> Column:
-    return F.transform(F.split(path, r"\."), lambda number: number.cast("long")).alias(path)
 
+def _dotted(path: Column) -> Column:
+    """A dotted path by its numbers, so that 0.2 comes before 0.10."""
+    return F.transform(F.split(path, r"\."), lambda number: number.cast("long"))
 
-def _collected(df: DataFrame, name: str, order: tuple[str, ...]) -> DataFrame:
-    """``(source_path, name)``: rows of a child table as one array per message, in ``order``."""
-    fields = sorted(c for c in df.columns if c not in ("source_path", "evidence_id"))
-    keyed = F.struct(F.struct(*[_dotted(c) if c in DOTTED else F.col(c) for c in order]).alias("key"),
-                     F.struct(*fields).alias("row"))
 
-    def by_key(a: Column, b: Column) -> Column:  # rows hold maps, which have no order
-        return F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
+def _json(value: Column) -> Column:
+    """JSON text of any value, scalars and NULL included."""
+    text = F.to_json(F.array(value), {"ignoreNullFields": "false"})
+    return F.substring(text, F.lit(2), F.length(text) - 2)
 
-    return df.groupBy("source_path").agg(
-        F.transform(F.array_sort(F.collect_list(keyed), by_key), lambda x: x["row"]).alias(name))
 
+def _sorted_map(entries: Column) -> Column:
+    return F.map_from_entries(F.array_sort(F.map_entries(entries)))
 
-CHILD_ORDER = {
-    "parts": ("ordinal",),
-    "attachment_inventory": ("part_index",),
-    "hops": ("position",),
-    "auth_results": ("ordinal",),
-    "dkim_signatures": ("ordinal",),
-    "received_spf": ("ordinal",),
-    "urls": ("url",),
-    "attachments": ("part_index",),
-    "containers": ("part_index", "container_path"),
-    "container_entries": ("part_index", "container_path", "ordinal"),
-    "warnings": ("stage", "seq"),
-}
 
+def _record(df: DataFrame, *left_out: str) -> Column:
+    """The other columns of a table as one JSON object, names and map keys sorted."""
+    maps = {f.name for f in df.schema.fields if f.dataType.typeName() == "map"}
+    names = sorted(c for c in df.columns if c not in ("source_path", "evidence_id", *left_out))
+    return _json(F.struct(*[(_sorted_map(F.col(c)) if c in maps else F.col(c)).alias(c) for c in names]))
 
-def message_documents(tables: dict[str, DataFrame]) -> DataFrame:
-    """``(source_path, document)``: one deterministic JSON text per accepted message.
 
-    Child tables (bounded per message by the job limits) are collected by key, all on the same
-    partitioning, and joined to the message row. Keys are written in sorted order and nothing in the
-    document depends on the run.
+def _item(block: Column | str, json: Column, path: Column | None = None, name: Column | None = None,
+          slot: str = "", at: Column | None = None) -> Column:
+    def numbers(c: Column | None) -> Column:
+        return F.expr("cast(array() as array<bigint>)") if c is None else c.cast("array<bigint>")
+    return F.struct((F.lit(block) if isinstance(block, str) else block).alias("block"), numbers(path).alias("path"),
+                    (F.lit("") if name is None else name).alias("name"), F.lit(slot).alias("slot"),
+                    numbers(at).alias("at"), json.alias("json"))
+
+
+def _items(df: DataFrame, *items: Column) -> DataFrame:
+    """All items of a row at once, so that what makes the row runs once."""
+    return df.select("source_path", F.inline(F.array(*items)))
+
+
+def _columns(df: DataFrame, prefix: str, **columns: Column) -> DataFrame:
+    """One item per column of a table with one row per message."""
+    return _items(df, *[_item(prefix + k, _json(v)) for k, v in columns.items()])
+
+
+def _tree(parts: DataFrame) -> DataFrame:
+    """The nested tree of parts as text: a part opens before its subtree and closes behind it.
+
+    Parts are numbered depth first; what closes behind a part closes from the deepest one on.
     """
-    base = tables["messages"].drop("modification_time")
-    blocks = [c for c in base.columns if c != "source_path"]
-    df = base
+    more = ~F.col("part_index").rlike(r"(^|\.)0$")
+    opened = F.concat(F.when(more, ",").otherwise(""), F.lit('{"children":['))
+    fields = _json(F.struct("content_type", "filename", F.col("part_index").alias("index"), "is_attachment", "sha256", "size_bytes"))
+    closed = F.concat(F.lit("],"), F.substring(fields, F.lit(2), F.length(fields)))
+
+    def place(*numbers: Column | int) -> Column:
+        return F.array(*[(F.lit(n) if isinstance(n, int) else n).cast("bigint") for n in numbers])
+
+    return _items(parts, _item("mime_tree", opened, place(F.col("ordinal"), 0, F.col("depth"))),
+                  _item("mime_tree", closed, place(F.col("last"), 1, -F.col("depth"))))
+
+
+def document_items(tables: dict[str, DataFrame]) -> DataFrame:
+    """The tagged union of all tables of one run."""
+    message = tables["messages"]
+    found = [_columns(message, "", date=F.col("date").dropFields("epoch"), to=F.col("to"), cc=F.col("cc"), **{
+        "from": F.col("from_addr"), **{c: F.col(c) for c in (
+            "evidence_id", "source_path", "sha256", "size_bytes", "reply_to", "return_path", "message_id", "subject")}}),
+        _tree(tables["parts"]),
+        _items(tables["attachment_inventory"], _item("attachments", _record(tables["attachment_inventory"]),
+                                                     _dotted(F.col("part_index"))))]
+
+    def listed(table: str, block: str, order: str, *left_out: str, **made: Column) -> None:
+        if table in tables:
+            df = tables[table].withColumns(made)
+            key = F.col(order)
+            text = df.schema[order].dataType.typeName() == "string"
+            found.append(_items(df, _item(block, _record(df, *left_out), None if text else F.array(key), key if text else None)))
+
+    warned = tables["warnings"]
+    area = F.lit("parser_warnings")
+    for block, stage in _AREAS.items():
+        area = F.when(F.col("stage") == stage, f"{block}.parser_warnings").otherwise(area)
+    found.append(_items(warned, _item(area, _record(warned, "stage", "seq"), F.array("seq"))))
     if "routing" in tables:
-        df = df.join(tables["routing"].select("source_path", F.struct(*sorted(
-            c for c in tables["routing"].columns if c not in ("source_path", "evidence_id")
-        )).alias("headers")), "source_path", "left")
-        blocks.append("headers")
-    for name, order in CHILD_ORDER.items():
-        if name in tables:
-            df = df.join(_collected(tables[name], name, order), "source_path", "left")
-            blocks.append(name)
+        routing = tables["routing"]
+        found.append(_columns(routing, "headers.", **{
+            c: _sorted_map(F.col(c)) if c == "list_headers" else F.col(c).dropFields("epoch") if c == "date" else F.col(c)
+            for c in routing.columns if c not in ("source_path", "evidence_id")}))
+    listed("hops", "headers.received", "position", "timestamp_epoch")
+    if "from_domains" in tables:
+        found.append(_columns(tables["from_domains"], "authentication.", from_domain=F.col("from_domain")))
+    listed("auth_results", "authentication.auth_results", "ordinal", "ordinal", "known_result")
+    listed("dkim_signatures", "authentication.dkim_signatures", "ordinal", "ordinal",
+           verification_note=F.lit("as stated by the header; no key was looked up and nothing was verified"))
+    listed("received_spf", "authentication.received_spf", "ordinal", "ordinal")
+    listed("urls", "urls.urls", "url", "invalid_port",
+           query_params=F.transform("query_params", lambda p: F.array(p["name"], p["value"])))
+    if "attachments" in tables:
+        kept = tables["attachments"].select(*[c for c in tables["attachments"].columns if c not in ("category", "label", "label_detail")],
+                                            F.struct("category", F.col("label_detail").alias("detail"), "label").alias("identified"))
+        found.append(_items(kept, _item(_RECORDS, _record(kept), _dotted(F.col("part_index")))))
+        for table, *ordinal in (("containers",), ("container_entries", "ordinal")):
+            df = tables[table]
+            inside = _dotted(F.col("container_path"))
+            at = F.concat(F.array(F.size(inside)), inside, *[F.array(F.col(c)) for c in ordinal])
+            found.append(_items(df, _item(_RECORDS, _record(df, "part_index", "filename"), _dotted(F.col("part_index")), None, table, at)))
     if "observations" in tables:
-        df = df.join(_collected(tables["observations"], "observations", ("area", "seq")),
-                     "source_path", "left")
-        blocks.append("observations")
-    document = F.to_json(F.struct("source_path", *sorted(blocks)),
-                         {"ignoreNullFields": "false"})
-    return df.select("source_path", document.alias("document"))
+        observed = tables["observations"]
+        note = _json(F.struct(_sorted_map(F.col("basis")).alias("basis"), "code", "detail"))
+        own = (F.col("area") == "attachments") & F.col("subject").isNotNull()
+        block = F.when(F.col("area") == "attachments", "attachments_detail").otherwise(F.col("area"))
+        path, at = _dotted(F.col("subject")), F.array("seq")
+        whole = _item(F.concat(block, F.lit(".observations")), note, at)
+        found.append(observed.select("source_path", F.inline(F.when(~own, F.array(whole)).otherwise(F.array(
+            _item(_RECORDS, note, path, None, "observations", at),
+            _item(_RECORDS, _json(F.col("code")), path, None, "observation_codes", at))))))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _object(fields: dict[str, Column]) -> Column:
+    """JSON object of texts, keys sorted."""
+    parts: list[Column] = []
+    for k in sorted(fields):
+        parts += [F.lit(("," if parts else "{") + f'"{k}":'), fields[k]]
+    return F.concat(*parts, F.lit("}"))
+
+
+def _texts(items: Column, **wanted: str) -> Column:
+    """The JSON texts of the items with the wanted values, in order."""
+    def mine(x: Column) -> Column:
+        (key, value), = wanted.items()
+        return x[key] == value
+    return F.transform(F.filter(items, mine), lambda x: x["json"])
+
+
+def message_documents(tables: dict[str, DataFrame], provenance: dict[str, str | None] | None = None) -> DataFrame:
+    """``(source_path, document)``: one deterministic JSON text per accepted message.
+
+    All items meet in one exchange by message; that partitioning serves the records inside a message and the
+    message itself. Keys are sorted; nothing depends on the run but ``provenance``, which the caller states.
+    """
+    slots = ("containers", "container_entries", "observations", "observation_codes")
+    made = document_items(tables).repartition("source_path")
+    records = made.groupBy("source_path", "block", "path", "name").agg(
+        F.sort_array(F.collect_list(F.struct("slot", "at", "json"))).alias("own"))
+    whole = F.array_join(_texts(F.col("own"), slot=""), ",")
+    extended = F.concat(F.substring(whole, F.lit(1), F.length(whole) - 1), *[
+        F.concat(F.lit(f',"{s}":['), F.array_join(_texts(F.col("own"), slot=s), ","), F.lit("]")) for s in slots], F.lit("}"))
+    records = records.select("source_path", F.struct(
+        "block", "path", "name", F.when(F.col("block") == _RECORDS, extended).otherwise(whole).alias("json")).alias("item"))
+    messages = records.groupBy("source_path").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    items = F.col("items")
+
+    def one(block: str) -> Column:
+        return F.coalesce(F.get(_texts(items, block=block), F.lit(0)), F.lit("null"))
+
+    def many(block: str, by: str = ",") -> Column:
+        return F.concat(F.lit("["), F.array_join(_texts(items, block=block), by), F.lit("]"))
+
+    source = {k: one(k) for k in ("evidence_id", "source_path", "sha256")}
+    source["provenance"] = F.lit(json.dumps(provenance, sort_keys=True, separators=(",", ":")))
+    blocks = {**source, **{k: one(k) for k in (
+        "size_bytes", "date", "from", "to", "cc", "reply_to", "return_path", "message_id", "subject")},
+        "mime_tree": F.array_join(_texts(items, block="mime_tree"), ""), "attachments": many("attachments"),
+        "parser_warnings": many("parser_warnings")}
+
+    def area(name: str, **own: Column) -> Column:
+        return _object({**source, **own, "observations": many(f"{name}.observations"),
+                        "parser_warnings": many(f"{name}.parser_warnings")})
+
+    if "routing" in tables:
+        blocks["headers"] = area("headers", received=many("headers.received"), **{
+            c: one(f"headers.{c}") for c in tables["routing"].columns if c not in ("source_path", "evidence_id")})
+    if "from_domains" in tables:
+        blocks["authentication"] = area("authentication", from_domain=one("authentication.from_domain"), **{
+            c: many(f"authentication.{c}") for c in ("auth_results", "dkim_signatures", "received_spf")})
+    if "urls" in tables:
+        blocks["urls"] = area("urls", urls=many("urls.urls"), url_count=F.size(_texts(items, block="urls.urls")).cast("string"))
+    if "attachments" in tables:
+        blocks["attachments_detail"] = area("attachments_detail", attachments=many(_RECORDS))
+    return messages.select("source_path", _object(blocks).alias("document"))
 
 
 def write_tables(tables: dict[str, DataFrame], path: str, ingest_date: str) -> None:

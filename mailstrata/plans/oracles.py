@@ -427,7 +427,8 @@ sighting AS (
     FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url
                  ELSE 'https://www.shown.example/' || page_id END AS u FROM pages)
   UNION ALL SELECT page_id, 11, 'header', 'List-Unsubscribe', u, FALSE, u, u FROM (
-    SELECT page_id, 'https://lists.example.org/u?id=' || page_id AS u FROM pages)),
+    SELECT page_id, 'http' || CASE WHEN page_id % 4 = 0 THEN '' ELSE 's' END || '://lists.example.org/u?id=' || page_id AS u
+    FROM pages)),
 merged AS (
   SELECT 'm3/' || k || '.eml' AS source_path, k, url_key, arg_min(url, ord) AS url,
          count(DISTINCT kind || '|' || detail || '|' || defanged_in_source) AS sources,
@@ -690,3 +691,31 @@ seen AS (
   UNION ALL SELECT 'attachments', source_path, code FROM ({_ATTACHMENT_CODES}))
 SELECT area, code, count(*) AS observations, count(DISTINCT source_path) AS messages
 FROM seen GROUP BY area, code"""
+
+_KEYS = {
+    "keys": "attachments,attachments_detail,authentication,cc,date,evidence_id,from,headers,message_id,mime_tree,"
+            "parser_warnings,provenance,reply_to,return_path,sha256,size_bytes,source_path,subject,to,urls",
+    "mime_tree_keys": "children,content_type,filename,index,is_attachment,sha256,size_bytes",
+    "headers_keys": "date,evidence_id,list_headers,message_id,mime_version,observations,parser_warnings,provenance,received,"
+                    "return_path,sha256,source_path,top_content_type,user_agent,x_mailer,x_originating_ip,x_sender_ip",
+    "authentication_keys": "auth_results,dkim_signatures,evidence_id,from_domain,observations,parser_warnings,provenance,"
+                           "received_spf,sha256,source_path",
+    "urls_keys": "evidence_id,observations,parser_warnings,provenance,sha256,source_path,url_count,urls",
+    "attachments_detail_keys": "attachments,evidence_id,observations,parser_warnings,provenance,sha256,source_path",
+}
+
+ORACLES["message_documents"] = f"""
+WITH {_SIGHTING},
+observed AS (SELECT source_path, count(*) AS n FROM ({_URL_CODES}) GROUP BY source_path),
+listed AS (
+  SELECT source_path, any_value(k) AS k, count(*) AS n, string_agg(url || ' ' || sources, ',' ORDER BY url) AS urls
+  FROM merged GROUP BY source_path)
+SELECT l.source_path, {", ".join(f"'{v}' AS {k}" for k, v in _KEYS.items())},
+       'page ' || k AS subject, '2024-01-01T00:00:00+00:00' AS date_utc, 'a@example.org' AS from_addr, '0' AS root,
+       '0.0 text/plain,0.1 text/html' AS nodes, 0 AS warnings, 0 AS hops,
+       '<http' || CASE WHEN k % 4 = 0 THEN '' ELSE 's' END || '://lists.example.org/u?id=' || k || '>' AS unsubscribe,
+       'hop-count,no-received-headers' AS header_codes, 'no-auth-headers,dkim-signature-absent' AS auth_codes,
+       'example.org' AS from_domain, l.n AS url_count, l.urls, 1 + coalesce(o.n, 0) AS url_observations,
+       CASE WHEN k % 13 = 0 THEN 'url-unparseable https://[bad' ELSE '' END AS url_warnings, 0 AS attachments,
+       'no-attachments' AS attachment_codes
+FROM listed l LEFT JOIN observed o USING (source_path)"""

@@ -36,6 +36,7 @@ from mailstrata.operators import attachments as att
 from mailstrata.operators import auth, containers, headers, html, mime, received, urls
 from mailstrata.operators.addresses import with_from_domain, with_return_path
 from mailstrata.plans import analysis, documents
+from mailstrata.session import stage
 from mailstrata.sources import corpora
 from mailstrata.sources.mail import accepted, fingerprint
 
@@ -72,6 +73,10 @@ def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mime.flatten_messages(corpora.url_messages(spark, sf_dir), with_payload=False)
 
 
+def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_ledger(_linked(spark, sf_dir))
+
+
 def _carried(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mime.flatten_messages(corpora.attachment_messages(spark, sf_dir), with_text=False)
 
@@ -418,17 +423,17 @@ def message_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def url_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.url_sightings(_linked(spark, sf_dir)).select(
+    return urls.url_sightings(_ledger(spark, sf_dir)).select(
         "source_path", "kind", "detail", "candidate", "defanged_in_source", "url_key")
 
 
 @query
 def url_unparseable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.url_warnings(_linked(spark, sf_dir)).select("source_path", "code", "detail")
+    return urls.url_warnings(_ledger(spark, sf_dir)).select("source_path", "code", "detail")
 
 
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.with_observations(urls.merged_urls(_linked(spark, sf_dir)))
+    return urls.with_observations(urls.merged_urls(_ledger(spark, sf_dir)))
 
 
 @query
@@ -456,7 +461,7 @@ def _url_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def url_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _url_codes(spark, sf_dir).where(F.col("subject").isNotNull()).select(
+    return _url_codes(spark, sf_dir).select(
         "source_path", "code", F.col("subject").alias("url"))
 
 
@@ -468,8 +473,8 @@ def display_href_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def url_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _url_codes(spark, sf_dir).where(F.col("code").isin("url-count", "no-urls")).select(
-        "source_path", "code", _basis("url_count"))
+    ledger = _ledger(spark, sf_dir)
+    return urls.url_counts(ledger, urls.merged_urls(ledger)).select("source_path", "code", _basis("url_count"))
 
 
 @query
@@ -563,16 +568,53 @@ def message_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def observation_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations and affected messages by area and code; each area over its own corpus."""
+    ledger = stage(_ledger(spark, sf_dir), "ledger")
+    seen = urls.with_observations(urls.merged_urls(ledger))
     parts = [
         received.header_observations(_chains(spark, sf_dir)),
         auth.auth_observations(_claims(spark, sf_dir)),
-        _url_codes(spark, sf_dir),
+        urls.url_observations(seen), urls.url_counts(ledger, seen),
         _attachment_codes(spark, sf_dir),
     ]
     return analysis.observation_rollup(analysis.union(parts))
 
 
+_DOCUMENT = (
+    "struct<evidence_id:string,sha256:string,subject:string,date:struct<utc:string>,`from`:struct<addr:string>,"
+    "mime_tree:struct<index:string,size_bytes:bigint,children:array<struct<index:string,content_type:string,"
+    "children:array<struct<index:string>>>>>,parser_warnings:array<struct<code:string>>,"
+    "headers:struct<received:array<struct<position:int>>,list_headers:map<string,string>,observations:array<struct<code:string>>>,"
+    "authentication:struct<from_domain:string,observations:array<struct<code:string>>>,"
+    "urls:struct<url_count:bigint,urls:array<struct<url:string,sources:array<struct<count:bigint>>>>,"
+    "observations:array<struct<code:string>>,parser_warnings:array<struct<code:string,detail:string>>>,"
+    "attachments_detail:struct<attachments:array<struct<filename:string>>,observations:array<struct<code:string>>>>")
+
+
 @query
 def message_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = analysis.analyze(corpora.url_messages(spark, sf_dir))
-    return documents.message_documents(tables)
+    """The JSON documents of the URL corpus, unpacked again: keys of all blocks, scalars, tree and lists."""
+    made = documents.message_documents(analysis.analyze(corpora.url_messages(spark, sf_dir)))
+    d = F.from_json("document", _DOCUMENT)
+
+    def keys(text: Column) -> Column:
+        return F.array_join(F.json_object_keys(text), ",")
+
+    def codes(area: str) -> Column:
+        return F.array_join(F.transform(F.col(f"d.{area}.observations"), lambda o: o["code"]), ",")
+
+    nodes = F.flatten(F.transform("d.mime_tree.children", lambda n: F.concat(
+        F.array(F.concat_ws(" ", n["index"], n["content_type"])), F.transform(n["children"], lambda c: c["index"]))))
+    return made.withColumn("d", d).select(
+        "source_path", keys(F.col("document")).alias("keys"),
+        *[keys(F.get_json_object("document", f"$.{b}")).alias(f"{b}_keys")
+          for b in ("mime_tree", "headers", "authentication", "urls", "attachments_detail")],
+        F.col("d.subject").alias("subject"), F.col("d.date.utc").alias("date_utc"), F.col("d.from.addr").alias("from_addr"),
+        F.col("d.mime_tree.index").alias("root"), F.array_join(nodes, ",").alias("nodes"),
+        F.size("d.parser_warnings").alias("warnings"), F.size("d.headers.received").alias("hops"),
+        F.try_element_at("d.headers.list_headers", F.lit("list-unsubscribe")).alias("unsubscribe"),
+        codes("headers").alias("header_codes"), codes("authentication").alias("auth_codes"),
+        F.col("d.authentication.from_domain").alias("from_domain"), F.col("d.urls.url_count").alias("url_count"),
+        F.array_join(F.transform("d.urls.urls", lambda u: F.concat_ws(" ", u["url"], F.size(u["sources"]).cast("string"))), ",").alias("urls"),
+        F.size("d.urls.observations").alias("url_observations"),
+        F.array_join(F.transform("d.urls.parser_warnings", lambda w: F.concat_ws(" ", w["code"], w["detail"])), ",").alias("url_warnings"),
+        F.size("d.attachments_detail.attachments").alias("attachments"), codes("attachments_detail").alias("attachment_codes"))

@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql.types import DataType, StructField, StructType
+from pyspark.sql.types import DataType, LongType, StructField, StructType
 from pyspark.sql.pandas.types import to_arrow_type
 
 from mailstrata.session import ship_package
@@ -52,3 +54,32 @@ def arrow_stage(df: DataFrame, source: str, out: str, out_type: str,
                     results, start, size = [], i + 1, 0
 
     return df.mapInArrow(run, schema)
+
+
+def running_count(df: DataFrame, key: str, counted: str, out: str) -> DataFrame:
+    """``df`` with ``out``: how many rows since the last change of ``key`` have ``counted``, this one included.
+
+    For rows that lie together and in order because they were made from one row; nothing is moved.
+    """
+    ship_package(df.sparkSession)
+    schema = StructType([*df.schema.fields, StructField(out, LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, carried = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(key)
+            changed = np.ones(batch.num_rows, dtype=bool)
+            changed[0] = keys[0].as_py() != last
+            changed[1:] = pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)
+            total = np.cumsum(batch.column(counted).to_numpy(zero_copy_only=False).astype(np.int64))
+            before = np.concatenate(([0], total[:-1]))
+            start = np.maximum.accumulate(np.where(changed, np.arange(batch.num_rows), 0))
+            counts = total - before[start]
+            if not changed[0]:
+                counts[: int(changed.argmax()) if changed.any() else batch.num_rows] += carried
+            last, carried = keys[-1].as_py(), int(counts[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts)], names=[*batch.schema.names, out])
+
+    return df.mapInArrow(run, schema)

@@ -175,7 +175,7 @@ def url_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = lines(
         "From: a@example.org", "To: b@example.org", text("Subject: page ", k),
         "Date: Mon, 01 Jan 2024 00:00:00 +0000",
-        text("List-Unsubscribe: <https://lists.example.org/u?id=", k, ">"),
+        text("List-Unsubscribe: <http", F.when(k % 4 == 0, "").otherwise("s"), "://lists.example.org/u?id=", k, ">"),
         "MIME-Version: 1.0", 'Content-Type: multipart/alternative; boundary="cut"', "",
         "--cut", "Content-Type: text/plain; charset=utf-8", "", plain,
         "--cut", "Content-Type: text/html; charset=utf-8", "", html, "--cut--", "")

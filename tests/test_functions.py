@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import email.utils
 import ipaddress
+import random
+import time
 import urllib.parse
 
 import pytest
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from mailstrata import functions as fn
 from mailstrata import rules
+from mailstrata.functions.auth import balanced_comment, split_outside_parens
 from mailstrata.functions.urls import with_url
 
 
@@ -222,3 +225,39 @@ def test_evidence_id(spark):
     df = spark.createDataFrame([(bytearray(b"abc"),)], "raw binary")
     got = df.select(fn.sha256_hex(F.col("raw")), fn.evidence_id(fn.sha256_hex(F.col("raw"))))
     assert tuple(got.first()) == (sha, "PS-MSG-BA7816BF8F01")
+
+
+def _by_hand(value):
+    """(segments outside parentheses, (rest, comment, balanced)) of a value."""
+    out, current, depth = [], "", 0
+    for ch in value:
+        depth = depth + 1 if ch == "(" else max(0, depth - 1) if ch == ")" else depth
+        if ch == ";" and not depth:
+            out.append(current)
+            current = ""
+        else:
+            current += ch
+    at, level = value.find("("), 0
+    if at < 0:
+        return [*out, current], (value, None, True)
+    for end in range(at, len(value)):
+        level += (value[end] == "(") - (value[end] == ")")
+        if not level:
+            return [*out, current], ((value[:at] + " " + value[end + 1:]).strip(), value[at + 1:end].strip() or None, True)
+    return [*out, current], (value[:at].strip(), value[at + 1:].strip() or None, False)
+
+
+def test_depth_scans_agree_with_a_loop(spark):
+    rng = random.Random(1)
+    values = ["".join(rng.choice("((());;; ab") for _ in range(rng.randint(0, 25))) for _ in range(2000)] + ["a\x01(;)\x01;b"]
+    frame = spark.createDataFrame([(v,) for v in values], "v string")
+    for row in frame.select("v", split_outside_parens(F.col("v")).alias("s"), balanced_comment(F.col("v")).alias("b")).collect():
+        assert (row.s, tuple(row.b)) == _by_hand(row.v)
+
+
+@pytest.mark.parametrize("value", ["(" * 250_000 + ")" * 250_000, "();" * 150_000, ")(;" * 150_000, "a;(" + ";" * 500_000])
+def test_depth_scans_are_linear(spark, value):
+    frame = spark.createDataFrame([(value,)], "v string")
+    started = time.time()
+    row = frame.select(split_outside_parens(F.col("v")).alias("s"), balanced_comment(F.col("v")).alias("b")).first()
+    assert (row.s, tuple(row.b)) == _by_hand(value) and time.time() - started < 15

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from mailstrata.functions.text import clean_url_text
 from mailstrata.limits import Limits
+from mailstrata.operators.auth import conflicting_methods
 from mailstrata.operators.headers import header_fields
 from mailstrata.plans import documents
 from mailstrata.plans.analysis import analyze
@@ -523,3 +524,95 @@ def test_overview(table):
     assert (got["m"].files, got["m"].parts, got["m"].attachments) == ("a.pdf", 3, 1)
     assert got["n"].date == "<missing>" and got["n"]["from"].endswith("more chars, see --json]")
     assert got["n"].first_warning == "missing-header"
+
+
+# --- large messages -------------------------------------------------------------------------------
+
+
+def test_header_urls_have_observations(table):
+    tables = analyze(table({"m": crlf(*BASE, "List-Unsubscribe: <http://192.0.2.7/u>", body="http://b.example")}), areas=("urls",))
+    codes = sorted((o.subject, o.code, o.seq) for o in tables["observations"].where("subject is not null").collect())
+    assert codes == [("http://192.0.2.7/u", "http-scheme", 2 * 16 + 6), ("http://192.0.2.7/u", "ip-literal-host", 2 * 16),
+                     ("http://b.example", "http-scheme", 16 + 6)]
+
+
+def test_one_message_with_many_urls_spreads(spark, table):
+    n = 200_000
+    body = "\r\n".join(f"http://h{i % 50_000}.example/{'x' * (i % 3)}" for i in range(n))
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tables = analyze(table({"m": crlf(*BASE, body=body), "n": crlf(*BASE, body="http://one.example")}), areas=("urls",))
+        places = tables["urls"].select("*", F.input_file_name().alias("file")).where("source_path = 'm'")
+        assert places.count() == 150_000 and places.select("file").distinct().count() >= 8
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    first = tables["observations"].where("code = 'http-scheme'").orderBy("source_path", "seq").limit(3).collect()
+    assert [(o.subject, o.seq) for o in first] == [(f"http://h{i}.example/{'x' * i}", (i + 1) * 16 + 6) for i in range(3)]
+    assert [o.basis["url_count"] for o in tables["observations"].where("code = 'url-count'").orderBy("source_path").collect()] == ["150000", "1"]
+
+
+def test_warnings_and_status_read_the_ledger(table):
+    broken = crlf(*BASE, body="http://[bad and https://good.example and hxxp://x..y")
+    tables = analyze(table({"m": broken}), areas=("urls",))
+    for name in ("warnings", "status", "observations"):
+        assert "MapInArrow" not in tables[name]._jdf.queryExecution().executedPlan().toString()
+    assert [(w.code, w.detail) for w in tables["warnings"].collect()] == [("url-unparseable", "http://[bad")]
+
+
+def test_documents_need_one_exchange(table):
+    tables = analyze(table({"m": attached("a.pdf", b"%PDF-1.7"), "n": crlf(*BASE)}))
+    made = documents.message_documents(tables, {"engine": "x"})
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    document = {r.source_path: json.loads(r.document) for r in made.collect()}["m"]
+    assert list(document) == sorted(document) and document["provenance"] == {"engine": "x"}
+    own = document["attachments_detail"]["attachments"][0]
+    assert own["observation_codes"] == [o["code"] for o in own["observations"]] and own["identified"]["label"] == "pdf"
+
+
+def test_document_tree(table):
+    inner = EmailMessage()
+    inner["From"] = "in@example.org"
+    inner.set_content("inner")
+    outer = EmailMessage()
+    outer["From"], outer["Date"] = "a@example.org", "Mon, 01 Jan 2024 00:00:00 +0000"
+    outer.set_content("plain")
+    outer.add_alternative("<p>html</p>", subtype="html")
+    outer.add_attachment(inner)
+    outer.add_attachment(b"abc", maintype="application", subtype="x", filename='q"uote.bin')
+    tree = json.loads(documents.message_documents(analyze(table({"m": outer.as_bytes()}), areas=())).first().document)["mime_tree"]
+
+    def shape(node):
+        return (node["index"], node["content_type"], [shape(c) for c in node["children"]])
+
+    assert shape(tree) == ("0", "multipart/mixed", [
+        ("0.0", "multipart/alternative", [("0.0.0", "text/plain", []), ("0.0.1", "text/html", [])]),
+        ("0.1", "message/rfc822", [("0.1.0", "text/plain", [])]), ("0.2", "application/x", [])])
+    assert tree["size_bytes"] == 3 + 6 + 12 + 6 and tree["children"][2]["filename"] == 'q"uote.bin'
+
+
+def test_many_parts_and_levels(table):
+    leaf = "--b\r\nContent-Type: text/plain\r\n\r\nxy\r\n"
+    wide = crlf(*BASE, 'Content-Type: multipart/mixed; boundary="b"', body=leaf * 20_000 + "--b--\r\n")
+    deep = crlf(*BASE, "Content-Type: multipart/mixed; boundary=d0", body="".join(
+        f"--d{i}\r\nContent-Type: multipart/mixed; boundary=d{i + 1}\r\n\r\n" for i in range(100)))
+    tables = analyze(table({"wide": wide, "deep": deep}), areas=())
+    started = time.time()
+    sizes = {r.source_path: (r.size_bytes, r["last"]) for r in tables["parts"].where("part_index = '0'").collect()}
+    assert sizes == {"wide": (40_000, 20_000), "deep": (0, 100)} and time.time() - started < 10
+    endless = crlf(*BASE, "Content-Type: multipart/mixed; boundary=d0", body="".join(
+        f"--d{i}\r\nContent-Type: multipart/mixed; boundary=d{i + 1}\r\n\r\n" for i in range(3000)))
+    assert analyze(table({"m": endless}), areas=())["rejects"].first().reason == "mime-too-deep"
+
+
+def test_many_claims_in_one_message(spark):
+    claims = [(f"m{i % 2000}", f"r{i % 3}", f"s{i % 7}") for i in range(20_000)]
+    frame = spark.createDataFrame([(claims,)], "claims array<struct<method:string,result:string,authserv_id:string>>")
+    got = frame.select(conflicting_methods(F.col("claims")).alias("found")).first().found
+    want = {}
+    for m, r, a in claims:
+        want.setdefault(m, {}).setdefault(r, set()).add(a)
+    assert {f.method: {k: sorted(v) for k, v in f.results.items()} for f in got} == {
+        m: {r: sorted(a) for r, a in rs.items()} for m, rs in want.items() if len(rs) > 1}
