@@ -33,7 +33,7 @@ from mailstrata.functions.ip import private_ranges
 from mailstrata.functions.urls import with_url
 from mailstrata.limits import MIB, Limits
 from mailstrata.operators import attachments as att
-from mailstrata.operators import auth, containers, headers, html, mime, received, urls
+from mailstrata.operators import auth, containers, headers, html, mime, networks, received, urls
 from mailstrata.operators.addresses import with_from_domain, with_return_path
 from mailstrata.plans import analysis, documents
 from mailstrata.session import stage
@@ -115,8 +115,8 @@ def address_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def private_ip_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """IPv4 literals of the documents, each also moved into three internal networks, looked up by a
-    range join against the 9-row network dimension."""
+    """IPv4 literals of the documents, each also moved into three internal networks, looked up in the
+    network dimension."""
     docs = corpora.table(spark, sf_dir, "documents", "doc_id", "text")
     found = F.regexp_extract_all("text", F.lit(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"), F.lit(0))
     rows = rows_of(docs, ("doc_id",), found, "literal", "pos")
@@ -128,11 +128,9 @@ def private_ip_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("ip", canonical_ip(F.col("literal")))
     rows = rows.withColumns({"ip_hex": ip_hex(F.col("ip")), "ip_version": ip_version(F.col("ip")),
                              "is_private": is_private_ip(F.col("ip"))})
-    ranges = F.broadcast(private_ranges(spark))
-    inside = (rows["ip_version"] == ranges["version"]) & rows["ip_hex"].between(
-        ranges["lo"], ranges["hi"])
-    return rows.join(ranges, inside, "left").select(
-        "doc_id", "pos", "variant", "literal", "ip_hex", "is_private", "network")
+    rows = networks.with_networks(rows, private_ranges(spark))
+    return rows.select("doc_id", "pos", "variant", "literal", "ip_hex", "is_private",
+                       F.explode_outer("networks").alias("network"))
 
 
 def _page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

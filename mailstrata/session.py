@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,6 +75,35 @@ def staging_root(spark: SparkSession) -> str:
     return root
 
 
+def file_system(spark: SparkSession, root: str) -> tuple:
+    """(Hadoop file system of ``root``, function that makes its paths)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path(root).getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def delete_path(spark: SparkSession, folder: str) -> None:
+    fs, path = file_system(spark, folder)
+    fs.delete(path(folder), True)
+
+
+#: Folders staged inside open ``staging`` blocks, innermost last.
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Remove what ``stage`` writes inside the block when the block ends, even by an error.
+
+    Only for results that are written inside it: a table read from a staged folder is void afterwards.
+    """
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for folder in _OPEN.pop():
+            delete_path(spark, folder)
+
+
 def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` once as parquet to the shared folder and read it back.
 
@@ -80,7 +111,10 @@ def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     lost executors and lets every branch scan only its own columns.
     """
     spark = df.sparkSession
-    path = os.path.join(staging_root(spark), "mailstrata", uuid.uuid4().hex, name)
+    folder = os.path.join(staging_root(spark), "mailstrata", uuid.uuid4().hex)
+    if _OPEN:
+        _OPEN[-1].append(folder)
+    path = os.path.join(folder, name)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

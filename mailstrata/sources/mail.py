@@ -6,6 +6,8 @@ The unit everywhere is one row per message: ``source_path`` is the row key, ``sh
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,12 +31,30 @@ def read_messages(spark: SparkSession, path: str, limits: Limits = Limits(),
     return read.unionByName(listed)
 
 
+def read_listed(listed: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Messages of ``listed(path, modificationTime, length)``: files within the size bound are read by name,
+    larger ones come without bytes.
+
+    The names of one batch pass through the driver, as they do for any list of input paths; the caller bounds them
+    (``message_stream`` by its files a batch).
+    """
+    spark = listed.sparkSession
+    within = F.col("length") <= limits.message_bytes
+    names = [re.sub(r"([\\\[\]{}*?])", r"\\\1", r[0]) for r in listed.where(within).select("path").collect()]
+    large = from_files(listed.where(~within).withColumn("content", F.lit(None).cast("binary")))
+    if not names:
+        return large
+    # Not skipped below the bound: the size is that of the bytes read, so a file that grew meanwhile is rejected.
+    read = spark.read.format("binaryFile").schema(RAW_FILE_SCHEMA).load(names)
+    return from_files(read).unionByName(large)
+
+
 def from_files(files: DataFrame) -> DataFrame:
-    """Rows of a ``binaryFile`` source as messages."""
+    """Rows of a ``binaryFile`` source as messages; the size is that of the bytes read, else the listed one."""
     return files.select(
         F.col("path").alias("source_path"),
         F.col("modificationTime").alias("modification_time"),
-        F.col("length").alias("size_bytes"),
+        F.coalesce(F.octet_length("content").cast("bigint"), F.col("length")).alias("size_bytes"),
         F.col("content").alias("raw"),
     )
 

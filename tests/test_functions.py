@@ -15,6 +15,7 @@ from mailstrata import functions as fn
 from mailstrata import rules
 from mailstrata.functions.auth import balanced_comment, split_outside_parens
 from mailstrata.functions.urls import with_url
+from mailstrata.operators.networks import with_networks
 
 
 def column(spark, values, expression):
@@ -261,3 +262,22 @@ def test_depth_scans_are_linear(spark, value):
     started = time.time()
     row = frame.select(split_outside_parens(F.col("v")).alias("s"), balanced_comment(F.col("v")).alias("b")).first()
     assert (row.s, tuple(row.b)) == _by_hand(value) and time.time() - started < 15
+
+
+def test_networks_agree_with_the_library(spark):
+    rng = random.Random(4)
+    nets = {ipaddress.ip_network((rng.getrandbits(32), rng.randint(0, 32)), strict=False) for _ in range(3000)}
+    nets |= {ipaddress.ip_network((rng.getrandbits(128), rng.randint(0, 128)), strict=False) for _ in range(300)}
+    known = list(nets)
+    ips = [ipaddress.ip_address(rng.getrandbits(32)) for _ in range(200)]
+    ips += [known[k].network_address for k in range(200)] + [ipaddress.ip_address(rng.getrandbits(128)) for _ in range(50)]
+    width = {4: 8, 6: 32}
+    table = spark.createDataFrame([(str(n), n.version, f"{int(n.network_address):0{width[n.version]}x}") for n in nets],
+                                  "network string, version int, lo string")
+    asked = spark.createDataFrame([(k, i.version, f"{int(i):0{width[i.version]}x}") for k, i in enumerate(ips)] + [(-1, None, None)],
+                                  "k int, ip_version int, ip_hex string")
+    made = with_networks(asked, table)
+    assert "NestedLoop" not in made._jdf.queryExecution().executedPlan().toString()
+    got = {r.k: r.networks for r in made.collect()}
+    assert got.pop(-1) == []
+    assert got == {k: sorted(str(n) for n in nets if n.version == i.version and i in n) for k, i in enumerate(ips)}

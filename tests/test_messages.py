@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import glob
 import io
 import json
+import os
 import struct
 import time
 import zipfile
@@ -19,6 +21,8 @@ from mailstrata.operators.auth import conflicting_methods
 from mailstrata.operators.headers import header_fields
 from mailstrata.plans import documents
 from mailstrata.plans.analysis import analyze
+from mailstrata.plans.publish import publish, published, read_published
+from mailstrata.session import staging_root
 
 
 def crlf(*lines: str, body: str = "hello\r\n") -> bytes:
@@ -474,7 +478,7 @@ def test_unnamed_attachment(table):
 
 
 def test_files_and_stream(spark, tmp_path):
-    from mailstrata.sources.mail import oversize_files, read_messages
+    from mailstrata.sources.mail import oversize_files, read_listed, read_messages
     from mailstrata.streaming.landing import message_stream, run_stream
 
     box = tmp_path / "box"
@@ -495,10 +499,42 @@ def test_files_and_stream(spark, tmp_path):
     over = oversize_files(spark, str(box), limits).collect()
     assert [(r.reason, r["limit"]) for r in over] == [("message-too-large", 1000)]
     out, state = tmp_path / "out", tmp_path / "state"
-    run_stream(message_stream(spark, str(box)), str(out), str(state), areas=("headers",),
-               availableNow=True).awaitTermination(120)
-    assert spark.read.parquet(str(out / "messages")).count() == 2
-    assert spark.read.parquet(str(out / "observations")).where("code = 'hop-count'").count() == 2
+    (box / "d[1] x.eml").write_bytes(crlf(*BASE))
+    stream = message_stream(spark, str(box))
+    assert stream.columns == ["path", "modificationTime", "length"]  # no byte of a file is in the stream
+    before = set(_staged(spark))
+    run_stream(stream, str(out), str(state), areas=("headers",), limits=limits, availableNow=True).awaitTermination(120)
+    assert read_published(spark, str(out), "messages").count() == 2
+    assert read_published(spark, str(out), "status").count() == 3
+    assert [r.reason for r in read_published(spark, str(out), "rejects").collect()] == ["message-too-large"]
+    assert read_published(spark, str(out), "observations").where("code = 'hop-count'").count() == 2
+    assert set(_staged(spark)) == before
+    grown = spark.createDataFrame([(str(box / "sub" / "b.eml"), None, 10)], "path string, modificationTime timestamp, length long")
+    again = analyze(read_listed(grown, limits), areas=(), limits=limits)["rejects"].first()
+    assert (again.reason, again.observed > 5000) == ("message-too-large", True)
+
+
+def _staged(spark):
+    return glob.glob(os.path.join(staging_root(spark).removeprefix("file://"), "mailstrata", "*"))
+
+
+def test_runs_are_published_whole_and_once(spark, tmp_path):
+    root = str(tmp_path / "lake")
+
+    def tables(n, broken=False):
+        made = {"a": spark.range(n).toDF("x"), "b": spark.range(2 * n).toDF("x")}
+        if broken:
+            made["c"] = spark.range(1).select(F.raise_error(F.lit("lost")).alias("x"))
+        return made
+
+    with pytest.raises(Exception, match="lost"):
+        publish(spark, root, "one", lambda: tables(3, broken=True))
+    assert published(spark, root) == []
+    assert publish(spark, root, "one", lambda: tables(3)) and publish(spark, root, "two", lambda: tables(5))
+    assert not publish(spark, root, "one", lambda: tables(100))
+    assert sorted(tuple(r) for r in read_published(spark, root, "a").groupBy("run").count().collect()) == [("one", 3), ("two", 5)]
+    assert read_published(spark, root, "b").count() == 16
+    assert len(os.listdir(os.path.join(root, "runs", "one"))) == 1
 
 
 def test_documents_are_deterministic(table, tmp_path, spark):
