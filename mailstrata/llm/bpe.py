@@ -132,6 +132,31 @@ def plain_spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw, start, np.append(start[1:], len(raw))
 
 
+def apart(data: bytes, raw: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray,
+          back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first piece of each group, group of each piece) where pieces of one group have equal bytes.
+
+    Groups come from hashes, which can be equal for different pieces: every byte is held against that of its
+    group's first piece, and pieces that differ get groups of their own. Pieces cover ``raw`` without gaps.
+    """
+    size = end - start
+    shift = np.repeat((start[first][back] - start).astype(np.int32), size)
+    at = np.minimum(np.arange(len(raw), dtype=np.int32) + shift, np.int32(len(raw) - 1))
+    differs = raw != raw[at]
+    odd = size != size[first][back]
+    if not odd.any() and not differs.any():
+        return first, back
+    odd |= np.logical_or.reduceat(differs, start)
+    first, back, own = first.tolist(), back.copy(), {}
+    for k in np.flatnonzero(odd).tolist():
+        piece = data[start[k]:end[k]]
+        if piece not in own:
+            own[piece] = len(first)
+            first.append(k)
+        back[k] = own[piece]
+    return np.array(first), back
+
+
 class Pieces:
     """Encodes texts piece by piece; ``encode_pieces`` gives the ids of new ones.
 
@@ -196,9 +221,9 @@ class Pieces:
             return out
         data = b"\xff".join([*(texts[k] for k in easy), b""])
         raw, start, end = plain_spans(data)
-        # Equal hash and length mean equal pieces (64 bits; see ``span_hashes``).
         keys = span_hashes(raw, start, end) + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         _, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        first, back = apart(data, raw, start, end, first, back)
         pieces = ["" if data[a] == 0xFF else data[a:b].decode() for a, b in zip(start[first].tolist(), end[first].tolist())]
         known, aged = self.known, self.aged
         found = [known.get(p) for p in pieces]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -226,3 +227,19 @@ def test_chat_recovers_hidden_markers(spark):
     assert len(got) == len(rows) and sum(r.role == r.truth for r in got) / len(got) > 0.97
     assert all(r.rendered == f"<|{r.role}|>\n" + r.rendered.split("\n", 1)[1] for r in got)
     assert chat.segments(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("letters", [512, 1024, 2048])
+def test_pieces_with_equal_hashes_stay_apart(spark, letters):
+    """A word of this kind and its complement have equal hashes for any base; alone and together in a text."""
+    one = "".join("ab"[k.bit_count() % 2] for k in range(letters))
+    two = one.translate(str.maketrans("ab", "ba"))
+    library = Tokenizer.from_file(bpe.resolve(bpe.DEFAULT))
+    rows = [(1, f"{one} {two} {one}"), (2, f" {two}"), (3, f"{two} {one}" * 3), (4, one)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = {i: library.encode(t, add_special_tokens=False).ids for i, t in rows}
+    got = {r.doc_id: r for r in bpe.round_trip(df).collect()}
+    assert {i: r.ids_sha256 for i, r in got.items()} == {
+        i: hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for i, x in ids.items()}
+    back = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in tokenbin.read_back(tokenbin.write_files(df)).collect()}
+    assert back == {i: (len(x) + 1, zlib.crc32(np.array([*x, 2], dtype="<u4").tobytes())) for i, x in ids.items()}
