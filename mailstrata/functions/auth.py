@@ -8,7 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mailstrata import rules
-from mailstrata.functions.common import first_match, let, null_if_empty, strip
+from mailstrata.functions.common import count_of, first_match, let, null_if_empty, strip
+
+#: A comment with up to two levels inside it, and how many parentheses a value may have to be read by it (the
+#: pattern recurses once for each). Other values are scanned; the results are the same.
+_SHALLOW = r"\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\)"
+_FEW = 16
+_CUT = "\u0001"
 
 #: A level and a token's place in one sortable number: places stay below this.
 _PLACES = 1 << 32
@@ -25,6 +31,10 @@ def _with_text(tokens: Column, pieces: Column) -> Column:
     return F.transform(tokens, lambda t, i: F.concat(F.get(pieces, i), t))
 
 
+def _few_parens(value: Column) -> Column:
+    return count_of(value, "(") <= _FEW
+
+
 def split_outside_parens(value: Column, sep: str = ";") -> Column:
     """Split on ``sep``, except inside (possibly nested) parentheses.
 
@@ -80,7 +90,15 @@ def split_outside_parens(value: Column, sep: str = ";") -> Column:
     nested = let(F.struct(found.alias("tokens"), between.alias("pieces")), lambda b: let(F.struct(
         _with_text(b["tokens"], b["pieces"]).alias("shown"), b["pieces"].alias("pieces"),
         F.concat(cuts(b["tokens"]), F.array(F.size(b["tokens"]).cast("long"))).alias("ends")), segments))
-    return F.when(value.contains("("), nested).otherwise(F.split(value, sep))
+    runs = F.regexp_extract_all(value, F.lit(rf"[^(){sep}]+|{_SHALLOW}|[(){sep}]"), F.lit(0))
+
+    def shallow(found: Column) -> Column:
+        """NULL where a parenthesis is left over."""
+        joined = F.array_join(F.transform(found, lambda t: F.when(t == sep, F.lit(_CUT)).otherwise(t)), "")
+        return F.when(~F.exists(found, lambda t: t.isin("(", ")")), F.split(joined, _CUT))
+
+    simple = F.when(_few_parens(value) & ~value.contains(_CUT), let(runs, shallow))
+    return F.when(value.contains("("), F.coalesce(simple, nested)).otherwise(F.split(value, sep))
 
 
 def balanced_comment(value: Column) -> Column:
@@ -112,7 +130,16 @@ def balanced_comment(value: Column) -> Column:
 
     plain = F.struct(value.alias("rest"), F.lit(None).cast("string").alias("comment"),
                      F.lit(True).alias("balanced"))
-    return F.when(value.contains("("), let(F.struct(tokens.alias("tokens"), pieces.alias("pieces")), read)).otherwise(plain)
+    scanned = let(F.struct(tokens.alias("tokens"), pieces.alias("pieces")), read)
+
+    def shallow(comment: Column) -> Column:
+        after = F.substring(from_open, F.length(comment) + 1, F.length(value))
+        return F.when(comment != "", F.struct(
+            strip(F.concat(before, F.lit(" "), after)).alias("rest"),
+            null_if_empty(strip(F.substring(comment, F.lit(2), F.length(comment) - 2))).alias("comment"), F.lit(True).alias("balanced")))
+
+    simple = F.when(_few_parens(value), let(F.regexp_extract(value, rf"^[^(]*+({_SHALLOW})", 1), shallow))
+    return F.when(value.contains("("), F.coalesce(simple, scanned)).otherwise(plain)
 
 
 def known_auth_result(result: Column) -> Column:
