@@ -7,7 +7,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from mailstrata.llm import similar, simhash
+from mailstrata.llm import contraction, similar, simhash
 
 
 def slow_shingles(text):
@@ -60,6 +60,55 @@ def test_stage_equals_the_similarity_of_all_pairs(spark):
     assert len(got) < simhash.keep_one(frame).count()
 
 
+def test_large_groups_in_blocks_equal_the_similarity_of_all_pairs(spark):
+    """Coarse groups far beyond a block: copies of copies, so that no text is similar to all of its group."""
+    rng = random.Random(3)
+    rows = near_copies(11, groups=4, copies=30)
+    words = [f"v{rng.randint(0, 3000)}" for _ in range(120)]
+    for step in range(60):
+        words[(2 * step) % 120] = f"y{step}"
+        rows.append((1000 + step, " ".join(words)))
+        rows.append((2000 + step, "shared opening of a form " * 3 + " ".join(f"z{rng.randint(0, 9)}" for _ in range(8))))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = slow_kept(rows)
+    assert sorted(r.doc_id for r in similar.keep_one(frame, block_marks=1500).collect()) == want
+    assert sorted(r.doc_id for r in similar.keep_one(frame).collect()) == want
+
+
+def test_copies_share_no_key_with_each_other(spark):
+    """Repeated texts are one text before any key is dealt, whatever their ids."""
+    rows = [(k, "the same words again and again in one hot text") for k in range(500)] + [(900, "a text of its own words here")]
+    frame = spark.createDataFrame([(i, str(i).encode(), t.encode()) for i, t in rows], "id long, digest binary, text binary")
+    frame = frame.withColumn("digest", similar.text_key(frame.text))
+    assert similar.sketches(frame).count() == 2
+    assert sorted(r.doc_id for r in similar.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [0, 900]
+
+
+def test_rows_of_a_run_meet_across_tasks(spark):
+    rows = near_copies(5, groups=6)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert sorted(r.doc_id for r in similar.keep_one(frame).collect()) == slow_kept(rows)
+
+
+def test_components_by_contraction(spark):
+    rng = random.Random(2)
+    chain = [(k, k + 1) for k in range(0, 300)]
+    star = [(1000, 1000 + k) for k in range(1, 200)]
+    loose = [(rng.randint(2000, 2400), rng.randint(2000, 2400)) for _ in range(150)]
+    edges = chain + star + loose + loose[:20] + [(b, a) for a, b in loose[:30]] + [(5000, 5000), (6000, None)]
+    got = {r.node: r.root for r in contraction.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    own = {}
+    for a, b in edges:
+        if b is not None and a != b:
+            x, y = own.setdefault(a, {a}), own.setdefault(b, {b})
+            if x is not y:
+                x |= y
+                own.update({k: x for k in y})
+    assert set(got) == set(own)
+    assert {frozenset(k for k in got if got[k] == r) for r in set(got.values())} == {frozenset(s) for s in own.values()}
+    assert contraction.connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_edge_rows(spark, edge, edge_rows, none):
     kept = similar.keep_one(edge)
     assert kept.columns == edge.columns
