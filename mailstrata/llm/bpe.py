@@ -55,8 +55,10 @@ YOUNGER = (
     0x2B81E, 0x2B81E, 0x2CEA2, 0x2CEAD, 0x323B0, 0x33479, 0x3D000, 0x3FC3F)
 _YOUNGER = regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(YOUNGER[::2], YOUNGER[1::2])) + "]")
 _ANY = regex.compile(PATTERN)
-#: Pieces remembered per worker and generation; bounds memory, not results.
+#: Pieces remembered per worker and generation, and pairs of tokens; these bound memory, not results.
 REMEMBERED = 400_000
+REMEMBERED_HERE = 150_000
+REMEMBERED_PAIRS = 500_000
 #: Texts whose new pieces are encoded together.
 GROUP_BYTES = 4 * 1024 * 1024
 _NEVER = 1 << 60
@@ -167,6 +169,7 @@ class Pieces:
         self.special = special
         self.parts = regex.compile("(" + "|".join(map(regex.escape, special)) + ")").split \
             if special else lambda text: [text]
+        self.remembered = REMEMBERED
         self.known: dict[str, list[int]] = {}
         self.aged: dict[str, list[int]] = {}
 
@@ -202,7 +205,7 @@ class Pieces:
                     ids.append(special)
                 ids.extend(chain.from_iterable(map(known.__getitem__, pieces)))
             out.append(ids)
-        if len(known) > REMEMBERED:
+        if len(known) > self.remembered:
             self.known, self.aged = {}, known
         return out
 
@@ -237,7 +240,7 @@ class Pieces:
                 known[pieces[k]] = found[k] = ids
         for k, ids in zip(fresh, self.encode_pieces([pieces[k] for k in fresh])):
             known[pieces[k]] = found[k] = ids
-        if len(known) > REMEMBERED:
+        if len(known) > self.remembered:
             self.known, self.aged = {}, known
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         flat = np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(sizes.sum()))
@@ -260,6 +263,7 @@ class Codec(Pieces):
         vocabulary = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items()
                       if all(c in letters for c in token)}
         super().__init__({t["content"]: t["id"] for t in spec["added_tokens"]})
+        self.remembered = REMEMBERED_HERE
         size = 1 + max([*vocabulary.values(), *self.special.values()])
         self.bytes_of: list[bytes] = [b""] * size
         for token, i in vocabulary.items():
@@ -327,7 +331,7 @@ class Codec(Pieces):
 
     def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
         """Ids of each piece. In sorted order, prefixes that neighbours share are computed once."""
-        if len(self.pairs) > 2_000_000:
+        if len(self.pairs) > REMEMBERED_PAIRS:
             self.pairs.clear()
         pairs, crossing, whole, bytes_of = self.pairs, self._first_crossing, self.whole, self.bytes_of
         matches = self.automaton.iter

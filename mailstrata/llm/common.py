@@ -125,7 +125,7 @@ def unstage(spark: SparkSession, df: DataFrame) -> None:
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BLOCK = 1 << 22
+_BLOCK = 1 << 18
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
