@@ -8,6 +8,7 @@ import numpy as np
 
 import corpus_pipeline
 from mailstrata.llm import contraction, similar, simhash
+from mailstrata.llm.common import word_hashes
 
 
 def slow_shingles(text):
@@ -151,3 +152,12 @@ def test_similar_texts_share_a_key():
         both = rng.integers(0, 1 << 64, 60, dtype=np.uint64)
         a, b = both[:54], both[6:]  # 48 of 60
         assert (similar.keys(a) == similar.keys(b)).any()
+
+
+def test_word_hashes_do_not_depend_on_blocks():
+    """Words before, across and behind the borders of blocks, and one that is longer than a block."""
+    words = [b"river", b"stone", b"of", b"x" * 700_000] + [b"w%d" % (k % 900) for k in range(150_000)] + [b"stone", b"x" * 700_000]
+    found = word_hashes(b" ".join(words))[0].tolist()
+    alone = {w: int(word_hashes(w)[0][0]) for w in set(words)}
+    assert found == [alone[w] for w in words]
+    assert len(set(alone.values())) == len(alone)
