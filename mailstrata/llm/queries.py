@@ -67,8 +67,7 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     text = F.col("text")
     replaced = F.size(F.filter(pii.entities(text), lambda m: pii.kind_of(m).isNotNull()))
-    key = pii.checked_key(docs)
-    return docs.select("doc_id", pii.replaced(text, key).alias("text"),
+    return docs.select("doc_id", pii.replaced(text, redrawn=pii.draws(docs)).alias("text"),
                        F.when(text.rlike(pii.HINT), replaced).otherwise(0).cast("long").alias("n_replaced"))
 
 
