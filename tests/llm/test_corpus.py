@@ -120,13 +120,31 @@ def test_sharding(edge, edge_rows, none):
     assert sharding.shard(none).count() == 0
 
 
-def test_longest_first_is_near_equal():
+def test_longest_first_equals_the_heap():
     rng = random.Random(8)
-    items = [(rng.randint(1, 10_000), k) for k in range(5000)]
+    for shards, sizes, most in ((40, 300, 500), (3, 20, 90), (40, 5, 20_000), (1, 4, 9), (40, 2000, 2)):
+        classes = sorted({rng.randint(1, 10_000): rng.randint(1, most) for _ in range(sizes)}.items(), reverse=True)
+        heap = [(0, s) for s in range(shards)]
+        for (size, groups), runs in zip(classes, sharding.longest_first(classes, shards)):
+            want = Counter()
+            for _ in range(groups):
+                load, s = heap[0]
+                want[s] += 1
+                heapq.heapreplace(heap, (load + size, s))
+            assert dict(runs) == dict(want)
+    assert sharding.longest_first([(7, 10**12)], 40) == [[(s, 10**12 // 40) for s in range(40)]]
+
+
+def test_sharding_of_one_size_and_one_hot_text(spark):
+    frame = spark.createDataFrame([(k, f"text {k:06d}") for k in range(3000)] + [(k, "hot") for k in range(3000, 4500)], "doc_id long, text string")
+    rows = sharding.shard(frame).collect()
+    assert len(rows) == 4500 and len({r.shard for r in rows if r.doc_id >= 3000}) == 1
+    ordinary = Counter(r.shard for r in rows if r.doc_id < 3000)
     loads = Counter()
-    for (size, _), s in zip(items, sharding.longest_first(items, 40)):
-        loads[s] += size
-    assert max(loads.values()) - min(loads.values()) <= 100
+    for r in rows:
+        loads[r.shard] += r["size"]
+    assert len(ordinary) == 39 and max(ordinary.values()) - min(ordinary.values()) <= 1
+    assert max(loads.values()) == 1500 * 19
 
 
 def test_simple8b_round_trip():
