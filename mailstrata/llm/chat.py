@@ -87,9 +87,11 @@ def train(rows: DataFrame) -> dict[str, list]:
     labelled = rows.where("marker >= 0").select("conv_id", "turn", "marker", "features")
     seen = labelled.select("marker", F.explode("features").alias("feature")).groupBy("marker", "feature").count()
     # The speaker before a turn is that of the turn one lower: a join, which no long conversation can skew.
-    after = labelled.select("conv_id", "turn", F.col("marker").alias("now"))
-    before = labelled.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("marker").alias("was"))
-    steps = after.join(before, ["conv_id", "turn"]).groupBy("was", "now").count()
+    # Rows that share a turn are counted first, so a turn gives as many joined rows as there are pairs of roles.
+    sides = labelled.groupBy("conv_id", "turn", "marker").count()
+    after = sides.select("conv_id", "turn", F.col("marker").alias("now"), F.col("count").alias("n"))
+    before = sides.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("marker").alias("was"), F.col("count").alias("m"))
+    steps = after.join(before, ["conv_id", "turn"]).groupBy("was", "now").agg(F.sum(F.col("n") * F.col("m")).alias("count"))
     first = labelled.where("turn = 0").groupBy("marker").count()
     n = len(ROLES)
     emit, move, start = np.ones((n, _FEATURES)), np.ones((n, n)), np.ones(n)
