@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 # Messages are up to 25 MiB each: an Arrow batch must hold few of them.
 ARROW_ROWS = 64
 
+# Rows of per-message work in one task: some seconds.
+TASK_ROWS = 16_384
+
 
 def build_session(master: str = "local[*]", app: str = "mailstrata", **conf: str) -> SparkSession:
     settings = {
@@ -32,14 +35,23 @@ def build_session(master: str = "local[*]", app: str = "mailstrata", **conf: str
     return builder.getOrCreate()
 
 
+def tasks_for(df: DataFrame) -> int:
+    """Tasks for per-row work on ``df``: one per ``TASK_ROWS`` rows, one per core at least.
+
+    Asks for the number of rows, which a scan of parquet reads off the footers.
+    """
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Give a scan that has fewer splits than there are cores one split per core.
+    """Give a scan that has fewer splits than its rows need tasks that many.
 
-    Small tables in one file would keep one core busy with per-row work that is far more expensive
-    than moving their few columns. Scans with enough splits are left alone.
+    A split is cut by bytes, but a row of few bytes becomes a whole message: without this, a task's work
+    grows with the table. Moving the few columns is far cheaper than the work. Scans with enough splits
+    are left alone.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    wanted = tasks_for(df)
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
 
 def ship_package(spark: SparkSession) -> None:

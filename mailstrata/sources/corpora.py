@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailstrata.functions.common import pinned
-from mailstrata.session import spread
+from mailstrata.session import spread, tasks_for
 from mailstrata.sources.mail import from_table
 
 # Events of one user within one block of this many consecutive event ids share a message, so a
@@ -72,8 +72,11 @@ def mail_time(ts: Column) -> Column:
 
 def chain_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relay corpus from ``events``: one hop per event, newest first."""
-    e = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type")
     eid, uid = F.col("event_id"), F.col("user_id")
+    # Dealt by message before anything is rendered: the one exchange, with as many tasks as the rows need.
+    e = e.withColumn("block", F.floor(eid / HOP_BLOCK).cast("bigint")).repartition(
+        tasks_for(e), "user_id", "block")
     hop_ts = F.date_trunc("second", F.col("ts")).cast("timestamp_ntz") + F.make_dt_interval(
         secs=((eid * 37) % 7200 - 3600).cast("decimal(18,6)"))
     host = text("h", eid % 97, ".example.com")
@@ -87,8 +90,7 @@ def chain_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     stamp = F.when(kind != "error", text("; ", mail_time(hop_ts)))
     line = text("Received: from ", sender, " by mx", eid % 7, ".example.net\r\n\twith ESMTPS id q",
                 eid, F.coalesce(stamp, F.lit("")))
-    hops = e.select(uid, F.floor(eid / HOP_BLOCK).cast("bigint").alias("block"), eid,
-                    line.alias("line"))
+    hops = e.select(uid, "block", eid, line.alias("line"))
     chains = hops.groupBy("user_id", "block").agg(
         F.max("event_id").alias("last_id"),
         F.array_join(F.transform(
