@@ -27,7 +27,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts whose five-word shingles are similar to 0.8."""
+    """One document of each group of texts whose five-word shingles are similar to 0.8: candidates from the
+    vantage-point forest over fingerprints, and from sketches beyond its radius, then the exact similarity."""
     return similar.keep_one(docs)
 
 

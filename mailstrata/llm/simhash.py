@@ -70,6 +70,11 @@ def fingerprint(data: bytes | None, size: int = SHINGLE) -> int:
     hashes = np.array([digest(joined[a:b], SEED) for a, b in
                        zip(starts[: len(words) - size + 1].tolist(), ends[size - 1:].tolist())],
                       dtype=np.uint64)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of ``hashes``; none: zero."""
     # Votes by byte value: 8 histograms of 256 bins instead of 64 counters per shingle.
     octets = hashes.view(np.uint8).reshape(-1, 8)
     votes = np.concatenate([np.bincount(octets[:, k], minlength=256) @ _BITS for k in range(8)])

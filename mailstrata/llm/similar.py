@@ -1,14 +1,17 @@
 """Near-duplicates by similarity: texts whose five-word shingles have a Jaccard similarity of at least 0.8.
 
-The Hamming distance of two fingerprints says little about such pairs (5 to 13 of 64 bits), and at a
-radius that holds them no tree prunes. So the search goes by the shingles themselves:
+The search is the forest of vantage-point trees of ``simhash``, over SimHash fingerprints of the five-word
+shingles, and an exact check. Many such pairs lie farther apart than its radius (5 to 13 of 64 bits), and
+at a radius that holds them all no tree prunes; these are found by the shingles themselves:
 
 * *copies* collapse first, by a digest of 128 bits, and only distinct texts take part in what follows;
-* *sketch*: BANDS keys of ROWS least hashes each. Two texts of similarity 0.8 share no key with
+* *forest*: fingerprints within ``simhash.RADIUS`` bits, found by the trees with boundary points sent to
+  both shards, are links between candidates;
+* *sketch*, for what lies beyond that radius: BANDS keys of ROWS least hashes each. Two texts of similarity 0.8 share no key with
   probability (1 - 0.8 ** ROWS) ** BANDS, less than 1e-9; more similar ones still less often;
 * *coarse groups*: the texts of a key form a star, never its pairs; stars are begun before the keys are
-  dealt, so that a frequent key sends one row per run of texts. The components of all stars are groups
-  that hold every pair which shares a key;
+  dealt, so that a frequent key sends one row per run of texts. The components of all stars and of the
+  forest's links are groups that hold every pair which shares a key or is within the radius;
 * *exact check*: only texts in a coarse group travel, once per size class and the next one (sizes of
   similar texts differ by a quarter at most). There the exact similarity decides about every link, and
   a spanning forest of the links is reported; its components are the result;
@@ -34,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailstrata.llm import simhash
 from mailstrata.llm.common import map_texts, named, shingle_hashes, staged, unstage, word_hashes
 from mailstrata.llm.contraction import connected
 from mailstrata.session import ship_package
@@ -76,15 +80,18 @@ def text_key(text: Column) -> Column:
 
 
 def sketches(texts: DataFrame) -> DataFrame:
-    """(node, id, digest, keys) of each distinct text of ``texts(id, digest, text)``: its least id and band keys."""
+    """(node, id, digest, keys, fp) of each distinct text of ``texts(id, digest, text)``: its least id, band keys and
+    fingerprint."""
     def make() -> Callable:
         def work(values: list, part: pa.RecordBatch) -> list:
-            return [part.column("id"), part.column("digest"), [keys(shingles(v)).tobytes() for v in values]]
+            sets = [shingles(v) for v in values]
+            prints = np.array([simhash.majority(s) for s in sets], dtype=np.uint64).view(np.int64)
+            return [part.column("id"), part.column("digest"), [keys(s).tobytes() for s in sets], prints]
         return work
 
-    drawn = map_texts(texts, "text", make, "id long, digest binary, keys binary")
-    once = drawn.groupBy("digest").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
-    return staged(once.select(F.monotonically_increasing_id().alias("node"), "id", "digest", "keys"), "sketches")
+    drawn = map_texts(texts, "text", make, "id long, digest binary, keys binary, fp long")
+    once = drawn.groupBy("digest").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("fp").alias("fp"))
+    return staged(once.select(F.monotonically_increasing_id().alias("node"), "id", "digest", "keys", "fp"), "sketches")
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,14 +143,29 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(roots[fresh]), pa.array(node[fresh])], names=["a", "b"])
 
 
+def near_prints(drawn: DataFrame, points: DataFrame) -> DataFrame:
+    """(a, b): edges whose components are those of all texts of ``drawn(node, fp)`` within ``simhash.RADIUS`` bits.
+
+    ``points(fp, first)`` holds each fingerprint and the least of its texts, staged.
+    """
+    links = simhash.links(points)
+    ends = links.join(points.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(
+        points.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    same = drawn.select("node", "fp").join(points, "fp").where(F.col("node") != F.col("first"))
+    return ends.union(same.select(F.col("first").alias("a"), F.col("node").alias("b")))
+
+
 def coarse(drawn: DataFrame) -> DataFrame:
-    """(node, root) of all texts of ``sketches`` that share a key with another one."""
+    """(node, root) of all texts of ``sketches`` that the forest links to another one or that share a key with one."""
     ship_package(drawn.sparkSession)
     entries = drawn.select("node", "keys").mapInArrow(_entries, "band long, node long, via long")
     ordered = entries.repartition("band").sortWithinPartitions("band", "node")
-    edges = staged(ordered.mapInArrow(_stars, "a long, b long").distinct(), "stars")
+    points = staged(drawn.groupBy("fp").agg(F.min("node").alias("first")), "points")
+    found = near_prints(drawn, points).union(ordered.mapInArrow(_stars, "a long, b long"))
+    edges = staged(found.distinct(), "stars")
     labels = connected(edges)
     unstage(drawn.sparkSession, edges)
+    unstage(drawn.sparkSession, points)
     return labels
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from mailstrata.llm import contraction, similar, simhash
-from mailstrata.llm.common import word_hashes
+from mailstrata.llm.common import staged, word_hashes
 
 
 def slow_shingles(text):
@@ -154,6 +155,27 @@ def test_similar_texts_share_a_key():
         assert (similar.keys(a) == similar.keys(b)).any()
 
 
+def test_forest_gives_candidates_without_any_shared_key(spark):
+    """Texts within the radius meet through the vantage-point forest alone, and no others do."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(60):
+        words = [f"w{rng.randint(0, 3000)}" for _ in range(400)]
+        other = list(words)
+        other[200] = "changed"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    frame = spark.createDataFrame([(i, str(i).encode(), t.encode()) for i, t in rows], "id long, digest binary, text binary")
+    drawn = similar.sketches(frame)
+    keys = F.unhex(F.concat(*[F.sha2(F.concat(F.col("id").cast("string"), F.lit(f"/{k}")), 256) for k in range(similar.BANDS // 4)]))
+    apart = staged(drawn.withColumn("keys", keys), "apart")  # as many keys, none of them shared
+    prints = {r.id: r.fp & (1 << 64) - 1 for r in drawn.collect()}
+    groups = {}
+    for r in similar.coarse(apart).join(drawn, "node").select("id", "root").collect():
+        groups.setdefault(r.root, set()).add(r.id)
+    want = [{a, a + 1} for a in range(0, 120, 2) if (prints[a] ^ prints[a + 1]).bit_count() <= simhash.RADIUS]
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want)) and len(want) > 20
+
+
 def test_word_hashes_do_not_depend_on_blocks():
     """Words before, across and behind the borders of blocks, and one that is longer than a block."""
     words = [b"river", b"stone", b"of", b"x" * 700_000] + [b"w%d" % (k % 900) for k in range(150_000)] + [b"stone", b"x" * 700_000]
