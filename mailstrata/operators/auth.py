@@ -303,6 +303,8 @@ def auth_observations(df: DataFrame, groups: tuple[str, ...] = AUTH_GROUPS) -> D
 
     Only the chosen ``groups`` are built; what they do not need is pruned from the plan.
     """
+    if groups == ("absent",):
+        return _absent(df)
     df = with_from_domain(with_claims(df.select("source_path", "evidence_id", "fields")))
     df = df.withColumns({
         "spf_domains": claimed_domains("spf"),
@@ -335,6 +337,19 @@ def auth_observations(df: DataFrame, groups: tuple[str, ...] = AUTH_GROUPS) -> D
                             "authentication", "observed")
 
 
+def _absent(df: DataFrame) -> DataFrame:
+    """Messages without a claim. One claim of any kind settles a message, so the kinds are asked one after the
+    other, the cheapest first, and each only until it gives one."""
+    names = (F.exists(values_of("received-spf"), lambda v: received_spf(v)["result"].isNotNull()),
+             F.exists(values_of("dkim-signature"), lambda v: F.size(dkim_signature(v)["tags"]) > 0),
+             F.exists(values_of("authentication-results"), lambda v: F.exists(
+                 authentication_results(v)["clauses"], lambda c: c["problem"].isNull())))
+    claimed = F.when(names[0], True).when(names[1], True).otherwise(F.coalesce(names[2], F.lit(False)))
+    rows = df.select("source_path", "evidence_id", claimed.alias("claimed"))
+    return observation_rows(rows.withColumn("observed", present((~F.col("claimed"), observation(
+        0, "no-auth-headers", "no authentication claim to read")))), "authentication", "observed")
+
+
 def _result_observation(r: Column, i: Column) -> Column:
     code = F.concat_ws("-", r["method"], r["result"])
     domain = property_domain(r["properties"], rules.CLAIM_DOMAIN_KEYS)
