@@ -235,7 +235,7 @@ def received_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _header_codes(spark: SparkSession, sf_dir: str, *codes: str) -> DataFrame:
-    rows = received.header_observations(_chains(spark, sf_dir))
+    rows = received.header_observations(_chains(spark, sf_dir), codes)
     return rows.where(F.col("code").isin(*codes))
 
 
