@@ -70,7 +70,7 @@ def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mime.flatten_messages(corpora.url_messages(spark, sf_dir), with_payload=False)
+    return mime.flatten_messages(corpora.url_messages(spark, sf_dir), with_payload=False, with_head=False)
 
 
 def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,11 +78,11 @@ def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _carried(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mime.flatten_messages(corpora.attachment_messages(spark, sf_dir), with_text=False)
+    return mime.flatten_messages(corpora.attachment_messages(spark, sf_dir), with_text=False, with_head=False)
 
 
-def _structure(messages: DataFrame) -> DataFrame:
-    return mime.flatten_messages(messages, with_text=False, with_payload=False)
+def _structure(messages: DataFrame, with_head: bool = False) -> DataFrame:
+    return mime.flatten_messages(messages, with_text=False, with_payload=False, with_head=with_head)
 
 
 # --- functions over driver tables -----------------------------------------------------------
@@ -382,13 +382,13 @@ def attachment_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def message_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mime.address_rows(_structure(corpora.chain_messages(spark, sf_dir))).drop("evidence_id")
+    return mime.address_rows(_structure(corpora.chain_messages(spark, sf_dir), with_head=True)).drop("evidence_id")
 
 
 @query
 def message_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decoded subject and sender name (RFC 2047), normalized date."""
-    parsed = _structure(corpora.attachment_messages(spark, sf_dir))
+    parsed = _structure(corpora.attachment_messages(spark, sf_dir), with_head=True)
     return analysis.message_rows(parsed).select(
         "source_path", "subject", F.col("from_addr.display_name").alias("from_name"),
         F.col("from_addr.addr").alias("from_addr"), F.col("date.utc").alias("date_utc"))
@@ -403,14 +403,14 @@ def missing_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def message_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = mime.flatten_messages(corpora.bounds_messages(spark, sf_dir), _BOUNDS, with_text=False,
-                                   with_payload=False)
+                                   with_payload=False, with_head=False)
     return mime.reject_rows(parsed).select(
         "source_path", "reason", "limit")
 
 
 @query
 def message_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = _structure(corpora.attachment_messages(spark, sf_dir))
+    parsed = _structure(corpora.attachment_messages(spark, sf_dir), with_head=True)
     return documents.overview(parsed).select(
         "source_path", "date", "from", "to", "subject", "parts", "content_type", "attachments",
         "files", "warnings", "first_warning")

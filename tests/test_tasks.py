@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import base64
+import email.policy
+
 from pyspark.sql import functions as F
 
 from mailstrata import session
+from mailstrata.operators import auth, headers, mime, received
 from mailstrata.sources import corpora
+from mailstrata.sources.mail import fingerprint
 
 
 def events(spark, folder, n):
@@ -29,3 +34,47 @@ def test_relay_corpus_is_dealt_once_by_message(spark, tmp_path, monkeypatch):
     messages = corpora.chain_messages(spark, str(tmp_path))
     assert messages.rdd.getNumPartitions() == 20
     assert messages.count() == 7
+
+
+MESSAGES = {
+    "none": b"From: a@example.org\r\nSubject: x\r\n\r\nbody",
+    "bad": b"Authentication-Results: mx.example; justwords; b@d=pass\r\nDKIM-Signature: ;;\r\nReceived-SPF: (open\r\n\r\nbody",
+    "spf": b"Received-SPF: pass\r\nReceived: from a ([10.0.0.1]) by b; never\r\n\r\nbody",
+    "dkim": b"DKIM-Signature: d=example.org; s=x\r\nX-Sender-IP: 192.0.2.1\r\n\r\nbody",
+    "ar": b"Received-SPF: \r\nAuthentication-Results: mx.example; spf=pass\r\nReceived: from a by b\r\n\r\nbody",
+}
+
+
+def test_absent_claims_alone_equal_those_of_the_whole_area(table):
+    fields = headers.with_fields(fingerprint(table(MESSAGES)))
+    whole = auth.auth_observations(fields).where("code = 'no-auth-headers'")
+    alone = auth.auth_observations(fields, ("absent",))
+    assert sorted(map(str, alone.collect())) == sorted(map(str, whole.collect()))
+    assert sorted(r.source_path for r in alone.collect()) == ["bad", "none"]
+    assert auth._absent(fields).columns == whole.columns
+
+
+def test_chosen_header_codes_equal_those_of_the_whole_area(table):
+    fields = headers.with_fields(fingerprint(table(MESSAGES)))
+    whole = received.header_observations(fields)
+    for codes in (("hop-count", "no-received-headers"), ("originating-ip-claim",), ("missing-timestamp",), ("private-ip-hop",)):
+        want = whole.where(F.col("code").isin(*codes))
+        assert sorted(map(str, received.header_observations(fields, codes).collect())) == sorted(map(str, want.collect()))
+        assert want.count()
+
+
+def test_structure_alone_carries_nothing_of_the_head(table):
+    parsed = mime.flatten_messages(table(MESSAGES), with_head=False)
+    whole = mime.flatten_messages(table(MESSAGES))
+    assert parsed.columns == whole.columns and parsed.schema == whole.schema
+    assert {(r.fields, r.addresses, r.subject) for r in parsed.collect()} == {(None, None, None)}
+    assert sorted(map(str, mime.message_warnings(parsed).collect())) == sorted(map(str, mime.message_warnings(whole).collect()))
+
+
+def test_encoded_subjects_equal_the_header_parser():
+    texts = ["Teil 1 ü", "", " a  b ", "x\r\ny", "日本 語", "=?utf-8?b?eA==?=", "tab\there", "nul\x00"]
+    values = [f"=?{c}?{e}?{base64.b64encode(t.encode()).decode()}?=" for t in texts for c in ("utf-8", "UTF-8") for e in "bB"]
+    for value in [*values, "=?utf-8?b?eA=?=", "=?utf-8?b?/w==?=", "=?utf-8?b?eA==?= =?utf-8?b?eA==?=", "=?nope?b?eA==?="]:
+        slow = str(email.policy.default.header_fetch_parse("subject", value)).strip()
+        assert mime._decoded.__wrapped__("subject", value) == (mime._text(slow) or None), value
+    assert mime._ENCODED.match(values[0])
