@@ -34,12 +34,17 @@ from mailstrata.functions.common import (
 from mailstrata.operators.addresses import with_from_domain
 from mailstrata.operators.headers import values_of
 from mailstrata.operators.observations import (
+    code_counts,
+    code_only,
     observation,
     observation_rows,
     present,
     warning_rows,
 )
 
+Maker = Callable[..., Column]
+
+
 def last_wins(entries: Column) -> Column:
     """MAP of ARRAY<STRUCT<k,v>>; a repeated key keeps its last value.
 
@@ -305,6 +310,16 @@ def auth_observations(df: DataFrame, groups: tuple[str, ...] = AUTH_GROUPS) -> D
     """
     if groups == ("absent",):
         return _absent(df)
+    return observation_rows(_observed(df, groups, observation), "authentication", "observed")
+
+
+def auth_code_counts(df: DataFrame) -> DataFrame:
+    """``area, code, observations, messages`` of the authentication area, some rows a message to be summed."""
+    return code_counts(_observed(df, AUTH_GROUPS, code_only), "authentication", "observed")
+
+
+def _observed(df: DataFrame, groups: tuple[str, ...], observation: Maker) -> DataFrame:
+    """``observed``: the observations of the chosen groups, each made by ``observation``."""
     df = with_from_domain(with_claims(df.select("source_path", "evidence_id", "fields")))
     df = df.withColumns({
         "spf_domains": claimed_domains("spf"),
@@ -317,7 +332,7 @@ def auth_observations(df: DataFrame, groups: tuple[str, ...] = AUTH_GROUPS) -> D
     made = {
         "absent": [present((nothing, observation(
             0, "no-auth-headers", "no authentication claim to read")))],
-        "results": [F.transform("auth_results", _result_observation)],
+        "results": [F.transform("auth_results", lambda r, i: _result_observation(r, i, observation))],
         "conflicts": [F.transform("conflicts", lambda c, i: observation(
             i + (2 << 32), "conflicting-auth-results",
             F.concat(F.lit("claims disagree on "), c["method"]), c["method"],
@@ -329,12 +344,13 @@ def auth_observations(df: DataFrame, groups: tuple[str, ...] = AUTH_GROUPS) -> D
             signed_headers=F.to_json(s["h"]))),
         present((F.size("dkim_signatures") == 0, observation(
             3 << 32, "dkim-signature-absent", "the message claims no signer")))],
-        "alignment": [_alignment_observations("spf", 4), _alignment_observations("dkim", 5)],
-        "received_spf": [F.flatten(F.transform("received_spf", _spf_observations))],
+        "alignment": [_alignment_observations("spf", 4, observation),
+                      _alignment_observations("dkim", 5, observation)],
+        "received_spf": [F.flatten(F.transform(
+            "received_spf", lambda s, i: _spf_observations(s, i, observation)))],
     }
     parts = [part for group in groups for part in made[group]]
-    return observation_rows(df.withColumn("observed", F.concat(*parts)),
-                            "authentication", "observed")
+    return df.withColumn("observed", F.concat(*parts))
 
 
 def _absent(df: DataFrame) -> DataFrame:
@@ -350,7 +366,7 @@ def _absent(df: DataFrame) -> DataFrame:
         0, "no-auth-headers", "no authentication claim to read")))), "authentication", "observed")
 
 
-def _result_observation(r: Column, i: Column) -> Column:
+def _result_observation(r: Column, i: Column, observation: Maker) -> Column:
     code = F.concat_ws("-", r["method"], r["result"])
     domain = property_domain(r["properties"], rules.CLAIM_DOMAIN_KEYS)
     detail = F.concat(r["method"], F.lit("="), r["result"], F.lit(" according to "),
@@ -361,7 +377,7 @@ def _result_observation(r: Column, i: Column) -> Column:
         properties=F.to_json(r["properties"]))
 
 
-def _alignment_observations(label: str, block: int) -> Column:
+def _alignment_observations(label: str, block: int, observation: Maker) -> Column:
     me = F.col("from_domain")
 
     def one(d: Column, i: Column) -> Column:
@@ -376,7 +392,7 @@ def _alignment_observations(label: str, block: int) -> Column:
     return F.transform(f"{label}_domains", one)
 
 
-def _spf_observations(s: Column, i: Column) -> Column:
+def _spf_observations(s: Column, i: Column, observation: Maker) -> Column:
     known = F.col("ar_spf")
     differs = (F.size(known) > 0) & ~F.array_contains(known, s["result"])
     seq = i * 2 + (6 << 32)

@@ -133,13 +133,13 @@ def status(rejected: Column, warnings: Column) -> Column:
     return F.when(rejected, "rejected").when(warnings > 0, "warnings").otherwise("ok")
 
 
-def observation_rollup(observations: DataFrame) -> DataFrame:
+def observation_rollup(observations: DataFrame, *counted: DataFrame) -> DataFrame:
     """Observations and affected messages by (area, code), over the whole corpus.
 
     First per message, then over messages: a code that half of the corpus carries is pre-aggregated
-    twice before it meets in one task.
+    twice before it meets in one task. ``counted`` are parts of the corpus that are counted per message already.
     """
     per_message = observations.groupBy("area", "code", "source_path").agg(
-        F.count(F.lit(1)).alias("n"))
-    return per_message.groupBy("area", "code").agg(
-        F.sum("n").alias("observations"), F.count(F.lit(1)).alias("messages"))
+        F.count(F.lit(1)).alias("observations")).drop("source_path").withColumn("messages", F.lit(1).cast("bigint"))
+    return union([per_message, *counted]).groupBy("area", "code").agg(
+        F.sum("observations").alias("observations"), F.sum("messages").alias("messages"))

@@ -568,13 +568,10 @@ def observation_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations and affected messages by area and code; each area over its own corpus."""
     ledger = stage(_ledger(spark, sf_dir), "ledger")
     seen = urls.with_observations(urls.merged_urls(ledger))
-    parts = [
-        received.header_observations(_chains(spark, sf_dir)),
-        auth.auth_observations(_claims(spark, sf_dir)),
-        urls.url_observations(seen), urls.url_counts(ledger, seen),
-        _attachment_codes(spark, sf_dir),
-    ]
-    return analysis.observation_rollup(analysis.union(parts))
+    parts = [urls.url_observations(seen), urls.url_counts(ledger, seen), _attachment_codes(spark, sf_dir)]
+    return analysis.observation_rollup(
+        analysis.union(parts), received.header_code_counts(_chains(spark, sf_dir)),
+        auth.auth_code_counts(_claims(spark, sf_dir)))
 
 
 _DOCUMENT = (

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mailstrata import session
 from mailstrata.operators import auth, headers, mime, received
+from mailstrata.plans import analysis
 from mailstrata.sources import corpora
 from mailstrata.sources.mail import fingerprint
 
@@ -78,3 +79,16 @@ def test_encoded_subjects_equal_the_header_parser():
         slow = str(email.policy.default.header_fetch_parse("subject", value)).strip()
         assert mime._decoded.__wrapped__("subject", value) == (mime._text(slow) or None), value
     assert mime._ENCODED.match(values[0])
+
+
+def test_counted_codes_equal_the_counted_observations(table, spark):
+    fields = headers.with_fields(fingerprint(table(MESSAGES)))
+    for area, rows in ((received.header_code_counts, received.header_observations(fields)),
+                       (auth.auth_code_counts, auth.auth_observations(fields))):
+        made = area(fields)
+        want = analysis.observation_rollup(rows)
+        got = analysis.observation_rollup(rows.limit(0), made)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    # Claims are counted where they are: nothing is moved by message.
+    plan = auth.auth_code_counts(fields)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
