@@ -13,6 +13,7 @@ SPACE_CHARS = (
     " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
+_STRIPPED = rf"(?s)^[{SPACE_CHARS}]*+(.*[^{SPACE_CHARS}])?"
 _TOKEN = rf"(?U)[^{SPACE}]+"
 
 
@@ -43,7 +44,8 @@ def pinned(df: DataFrame, keep: Iterable[str], value: Column, name: str) -> Data
 
 
 def strip(c: Column) -> Column:
-    return F.btrim(c, F.lit(SPACE_CHARS))
+    """``c`` without the ``SPACE_CHARS`` at both ends; the pattern goes to the end and comes back, so it is linear."""
+    return F.regexp_extract(c, _STRIPPED, 1)
 
 
 def tokens(c: Column) -> Column:

@@ -32,6 +32,11 @@ _FIELDS = (
     rf"(?i)^(\d+),? ({_MONTH}) (\d+),? "
     r"(?:(\d+):(\d+)(?::(\d+))?|(\d+)\.(\d+)(?:\.(\d+))?),? (\S+).*\z"
 )
+# Fixed places: "Mon, 01 Jan 2024 10:00:00 +0100". Every field but the day is within its range.
+_USUAL = (
+    rf"^[A-Za-z]{{3}}, [0-9]{{2}} (?:{'|'.join(m[:3].capitalize() for m in rules.MONTHS)}) [12][0-9]{{3}} "
+    r"(?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9] (?:\+|-(?!0000))(?:[01][0-9]|2[0-3])[0-5][0-9]\z"
+)
 
 
 def _zone_seconds(zone: Column) -> Column:
@@ -51,7 +56,25 @@ def _zone_seconds(zone: Column) -> Column:
 
 
 def rfc5322_epoch(text: Column) -> Column:
-    """Seconds since 1970 UTC of a mail date, or NULL when it is invalid or has no zone."""
+    """Seconds since 1970 UTC of a mail date, or NULL when it is invalid or has no zone.
+
+    The usual spelling is read by the places of its fields, every other one by rewriting; the results are the same.
+    """
+    return F.when(text.rlike(_USUAL), _usual_epoch(text)).otherwise(_rewritten_epoch(text))
+
+
+def _usual_epoch(text: Column) -> Column:
+    def num(start: int, length: int = 2) -> Column:
+        return F.substring(text, start, length).cast("bigint")
+
+    month = ((F.instr(F.lit(_MONTH_INDEX), F.lower(F.substring(text, 9, 3))) + 2) / 3).cast("int")
+    day = F.concat_ws("-", F.substring(text, 13, 4), month.cast("string"), F.substring(text, 6, 2)).try_cast("date")
+    zone = num(28) * 3600 + num(30) * 60
+    return (F.unix_date(day).cast("bigint") * 86400 + num(18) * 3600 + num(21) * 60 + num(24)
+            - F.when(F.substring(text, 27, 1) == "-", -zone).otherwise(zone))
+
+
+def _rewritten_epoch(text: Column) -> Column:
     s = F.btrim(F.regexp_replace(text, rf"(?U)[{SPACE}]+", " "))
     for pattern, replacement in _REWRITES:
         s = F.regexp_replace(s, pattern, replacement)

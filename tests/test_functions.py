@@ -281,3 +281,30 @@ def test_networks_agree_with_the_library(spark):
     got = {r.k: r.networks for r in made.collect()}
     assert got.pop(-1) == []
     assert got == {k: sorted(str(n) for n in nets if n.version == i.version and i in n) for k, i in enumerate(ips)}
+
+
+def test_usual_dates_are_read_as_the_rewritten_ones(spark):
+    from mailstrata.functions import dates
+
+    shown = ["Mon, 01 Jan 2024 10:00:00 +0100", "Xyz, 31 Dec 1999 23:59:59 -2359", "Tue, 30 Feb 2024 10:00:00 +0000",
+             "Tue, 29 Feb 2000 00:00:00 -0000", "Tue, 00 Mar 2024 00:00:00 +0000", "Mon, 01 Jan 2024 24:00:00 +0000",
+             "Mon, 01 Jan 2024 10:00:00 +2400", "Mon, 01 May 2999 10:00:00 -0530", "Mon, 01 jan 2024 10:00:00 EST"]
+    df = spark.createDataFrame([(s,) for s in shown], "s string")
+    usual = df.select("s", dates.rfc5322_epoch(F.col("s")).alias("a"), dates._rewritten_epoch(F.col("s")).alias("b")).collect()
+    assert [r.a for r in usual] == [r.b for r in usual]
+    assert sum(df.select(F.col("s").rlike(dates._USUAL).cast("int")).toPandas().iloc[:, 0]) == 5
+
+
+def test_last_clause_of_a_kind_is_read_from_the_end(spark):
+    from mailstrata.operators import received
+
+    shown = ["from a by b with C id d", "from a (from x by y) by z", "by b FROM  a\nwith from", "frombya by", "", "x" * 100_000,
+             "wıth q id r; by (with) s", "from by"]
+    clause = rf"(?isU){received._KEYWORD}.*?(?={received._KEYWORD}|\z)"
+    df = spark.createDataFrame([(s,) for s in shown], "clauses string")
+    for name in ("from", "by", "with", "id"):
+        old = F.try_element_at(F.filter(F.regexp_extract_all("clauses", F.lit(clause), F.lit(0)),
+                                        lambda s: s.rlike(rf"(?iU)^{name}\b")), F.lit(-1))
+        rows = df.select(received._segment(name).alias("a"),
+                         F.coalesce(F.substring(old, len(name) + 1, 2**31 - 1), F.lit("")).alias("b")).collect()
+        assert [r.a for r in rows] == [r.b for r in rows]
