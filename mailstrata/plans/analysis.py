@@ -129,6 +129,19 @@ def message_status(parsed: DataFrame, warnings: DataFrame) -> DataFrame:
     ).select("source_path", "warnings", status(F.col("rejected"), F.col("warnings")).alias("status"))
 
 
+def header_status(messages: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """``status`` of an analysis of the header area alone, in one pass over the messages: nothing is staged and one
+    row a hop meets by message, combined map-side."""
+    seen = mime.warned_messages(messages, limits)
+    own = F.size(F.filter("warnings", lambda w: w["stage"] == "message"))
+    seen = seen.select("source_path", "fields", F.col("reject").isNotNull().alias("rejected"),
+                       F.when(F.col("reject").isNull(), F.greatest(own, F.lit(0))).otherwise(0).alias("own"))
+    n = F.col("n") + F.when(F.col("first"), F.col("own")).otherwise(0)
+    return received.with_warning_count(seen, "n").groupBy("source_path").agg(
+        F.sum(n).alias("warnings"), F.max("rejected").alias("rejected"),
+    ).select("source_path", "warnings", status(F.col("rejected"), F.col("warnings")).alias("status"))
+
+
 def status(rejected: Column, warnings: Column) -> Column:
     return F.when(rejected, "rejected").when(warnings > 0, "warnings").otherwise("ok")
 

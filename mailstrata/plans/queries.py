@@ -560,7 +560,7 @@ def attachment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def message_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = corpora.chain_messages(spark, sf_dir).unionByName(
         corpora.bounds_messages(spark, sf_dir))
-    return analysis.analyze(both, ("headers",), _BOUNDS)["status"].select("source_path", "status")
+    return analysis.header_status(both, _BOUNDS).select("source_path", "status")
 
 
 @query

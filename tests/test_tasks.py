@@ -8,9 +8,10 @@ import email.policy
 from pyspark.sql import functions as F
 
 from mailstrata import session
+from mailstrata.limits import Limits
 from mailstrata.operators import auth, headers, mime, received
 from mailstrata.plans import analysis
-from mailstrata.sources import corpora
+from mailstrata.sources import arrow_stage, corpora
 from mailstrata.sources.mail import fingerprint
 
 
@@ -92,3 +93,16 @@ def test_counted_codes_equal_the_counted_observations(table, spark):
     # Claims are counted where they are: nothing is moved by message.
     plan = auth.auth_code_counts(fields)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_status_of_the_header_area_needs_no_staging(table, monkeypatch):
+    bounds = Limits(header_bytes=400, mime_parts=3)
+    many = b"\r\nContent-Type: multipart/mixed; boundary=x\r\n\r\n" + b"--x\r\n\r\na\r\n" * 4 + b"--x--\r\n"
+    messages = table({**MESSAGES, "hops": b"Date: x\r\nFrom: a@b\r\nReceived: from a; x\r\nReceived: y\r\n\r\n",
+                      "fine": b"Date: x\r\nFrom: a@b\r\n\r\n", "long": b"X: " + b"y" * 500 + b"\r\n\r\n",
+                      "many": b"Received: y" + many})
+    want = analysis.analyze(messages, ("headers",), bounds)["status"].collect()
+    monkeypatch.setattr(analysis, "stage", None)
+    got = analysis.header_status(messages, bounds).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    assert {r.status for r in got} == {"ok", "warnings", "rejected"}
