@@ -20,6 +20,8 @@ from mailstrata.session import ship_package
 
 # Output batches are cut by size, so a run of large messages does not become one large batch.
 OUTPUT_BYTES = 32 * 1024 * 1024
+# And by rows: results are Python objects until they are written, many times the size of a short message.
+OUTPUT_ROWS = 256
 
 
 def arrow_stage(df: DataFrame, source: str, out: str, out_type: str,
@@ -46,7 +48,7 @@ def arrow_stage(df: DataFrame, source: str, out: str, out_type: str,
                 value = column[i].as_py()
                 results.append(None if value is None else fn(value, *[o[i].as_py() for o in others]))
                 size += 0 if value is None else weight(value)
-                if size >= OUTPUT_BYTES or i + 1 == batch.num_rows:
+                if size >= OUTPUT_BYTES or i + 1 - start >= OUTPUT_ROWS or i + 1 == batch.num_rows:
                     part = batch.slice(start, i + 1 - start)
                     made = pa.array(results, type=arrow_kind)
                     yield pa.RecordBatch.from_arrays(

@@ -106,3 +106,26 @@ def test_status_of_the_header_area_needs_no_staging(table, monkeypatch):
     got = analysis.header_status(messages, bounds).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
     assert {r.status for r in got} == {"ok", "warnings", "rejected"}
+
+
+def test_results_of_an_arrow_stage_are_written_by_few_rows(spark):
+    class Made(dict):
+        alive = 0
+
+        def __init__(self, **values):
+            super().__init__(**values)
+            Made.alive += 1
+
+        def __del__(self):
+            Made.alive -= 1
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        df = spark.range(0, 2000, 1, 1).selectExpr("cast(id as string) as s")
+        rows = arrow_stage.arrow_stage(df, "s", "made", "struct<alive:int>", lambda s: Made(alive=Made.alive), keep_source=True).collect()
+    finally:
+        spark.conf.set(key, usual)
+    assert [r.s for r in rows] == [str(i) for i in range(2000)]
+    assert max(r.made.alive for r in rows) <= 2 * 256
