@@ -28,7 +28,7 @@ from mailstrata.functions import (
     truncate_display,
     undefang_url,
 )
-from mailstrata.functions.common import rows_of
+from mailstrata.functions.common import pinned, rows_of
 from mailstrata.functions.ip import private_ranges
 from mailstrata.functions.urls import with_url
 from mailstrata.limits import MIB, Limits
@@ -599,10 +599,11 @@ def message_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     nodes = F.flatten(F.transform("d.mime_tree.children", lambda n: F.concat(
         F.array(F.concat_ws(" ", n["index"], n["content_type"])), F.transform(n["children"], lambda c: c["index"]))))
-    return made.withColumn("d", d).select(
-        "source_path", keys(F.col("document")).alias("keys"),
-        *[keys(F.get_json_object("document", f"$.{b}")).alias(f"{b}_keys")
-          for b in ("mime_tree", "headers", "authentication", "urls", "attachments_detail")],
+    # Each reading of the text goes through all of it: one for the values, one for the texts of all blocks.
+    blocks = ("mime_tree", "headers", "authentication", "urls", "attachments_detail")
+    read = pinned(made, made.columns, d, "d")
+    return read.select("*", F.json_tuple("document", *blocks).alias(*[f"{b}_text" for b in blocks])).select(
+        "source_path", keys(F.col("document")).alias("keys"), *[keys(F.col(f"{b}_text")).alias(f"{b}_keys") for b in blocks],
         F.col("d.subject").alias("subject"), F.col("d.date.utc").alias("date_utc"), F.col("d.from.addr").alias("from_addr"),
         F.col("d.mime_tree.index").alias("root"), F.array_join(nodes, ",").alias("nodes"),
         F.size("d.parser_warnings").alias("warnings"), F.size("d.headers.received").alias("hops"),

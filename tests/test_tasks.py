@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import base64
+import email.message
 import email.policy
+import io
+import json
+import zipfile
 
 from pyspark.sql import functions as F
 
 from mailstrata import session
 from mailstrata.limits import Limits
 from mailstrata.operators import auth, headers, mime, received
-from mailstrata.plans import analysis
+from mailstrata.plans import analysis, documents
 from mailstrata.sources import arrow_stage, corpora
 from mailstrata.sources.mail import fingerprint
 
@@ -129,3 +133,31 @@ def test_results_of_an_arrow_stage_are_written_by_few_rows(spark):
         spark.conf.set(key, usual)
     assert [r.s for r in rows] == [str(i) for i in range(2000)]
     assert max(r.made.alive for r in rows) <= 2 * 256
+
+
+def zipped(*names):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as made:
+        for name in names:
+            made.writestr(name, b"x")
+    return out.getvalue()
+
+
+def test_documents_move_one_row_per_table_row_to_tasks_by_messages(table, monkeypatch):
+    mail = email.message.EmailMessage()
+    mail["From"] = "a@example.org"
+    mail.set_content("http://a.example and http://b.example and http://[bad")
+    for k, names in enumerate((["a.txt", "b.exe"], [], ["c.txt"])):
+        mail.add_attachment(zipped(*names), maintype="application", subtype="zip", filename=f"f{k}.zip")
+    tables = analysis.analyze(table({**MESSAGES, "zips": mail.as_bytes()}))
+    shown = [t for t in tables if t not in ("rejects", "addresses", "headers", "status")]
+    assert documents.document_items(tables).count() == sum(tables[t].count() for t in shown)
+    monkeypatch.setattr(session, "TASK_ROWS", 1)
+    made = documents.message_documents(tables)
+    assert made.rdd.getNumPartitions() == 6
+    texts = {r.source_path: json.loads(r.document) for r in made.collect()}
+    assert set(texts) == {*MESSAGES, "zips"} and texts["zips"]["urls"]["url_count"] == 2
+    records = texts["zips"]["attachments_detail"]["attachments"]
+    assert [(r["filename"], [e["name"] for e in r["container_entries"]], len(r["containers"])) for r in records] == [
+        ("f0.zip", ["a.txt", "b.exe"], 1), ("f1.zip", [], 1), ("f2.zip", ["c.txt"], 1)]
+    assert all(r["observation_codes"] == [o["code"] for o in r["observations"]] for r in records)
